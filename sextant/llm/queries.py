@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import quality, tokens, toxicity
+from sextant.llm import merkle, pii, quality, secrets, tokens, toxicity
 from sextant.llm.common import table
 
 
@@ -17,6 +17,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_edit(table(spark, sf_dir, "documents"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -25,13 +33,20 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_and_read(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
+    "op4_pii": op4_pii,
+    "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
 }
 
