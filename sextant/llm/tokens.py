@@ -7,6 +7,7 @@ so a reader of a few documents or of the metadata alone skips the other pages.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -17,11 +18,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm.common import shared_dir, small_batches, texts
+from sextant.llm.shingles import span_hashes
 
 #: Of one file: about so many documents; each is one task's sorted rows.
 DOCS_PER_FILE = 8192
 #: Chunks that a worker remembers before it forgets them all: bounds its memory.
-CACHE = 1_000_000
+CACHE = 1_500_000
+#: White space beside white space, or beyond ASCII.
+HARD = re.compile("\\s\\s|[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+OTHER, SPACE, BREAK, LETTER, STOP = range(5)
+BYTE_KIND = np.zeros(256, np.uint8)
+BYTE_KIND[32] = SPACE
+BYTE_KIND[[9, 10, 11, 12, 13]] = BREAK
+BYTE_KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+BYTE_KIND[[44, 46]] = STOP
+CASED = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 WRITER = {
     "compression": "zstd",
@@ -37,12 +48,12 @@ WRITER = {
 SCHEMA = "shard int, doc_id long, local_start long, n_tokens long, tokens array<int>"
 
 
-class Encoder(dict):
-    """Ids of texts as little-endian 32-bit integers, the same as the library's for the whole text.
+class Encoder:
+    """Ids of texts, the same as the library's for the whole text, with every distinct chunk of text encoded once.
 
-    The vocabulary's pre-tokenizer never joins what a single space separates from the word before it, so a text is cut before
-    such spaces and every distinct chunk is encoded once. Texts in which a space stands beside other white space are encoded whole.
-    Special tokens' names in a text are ordinary text.
+    The vocabulary's pre-tokenizer never joins across a single blank (a space goes with what follows it) nor from a letter to a
+    full stop or comma, so texts are cut there. Chunks are told apart by 64-bit hashes in numpy. Texts in which white space stands
+    beside white space, or that hold white space beyond ASCII, are encoded whole. Special tokens' names are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
@@ -50,70 +61,132 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-        self.first: dict[str, bytes] = {}
-
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """This dictionary holds words as they stand after a space, ``first`` those that begin a text."""
-        cut = []
-        for t in texts:
-            words = t.split(" ")
-            cut.append([] if "" in words or any(w[0].isspace() for w in words if not w[0].isalnum()) else words)
-        if len(self) > CACHE:
-            self.clear()
-            self.first.clear()
-        starts = [x for x in {w[0] for w in cut if w} if x not in self.first]
-        self.first.update(zip(starts, self.plain(starts), strict=True))
-        fresh = [x for x in set().union(*[w[1:] for w in cut]) if x not in self]
-        self.update(zip(fresh, self.plain([" " + x for x in fresh]), strict=True))
-        whole = iter(self.plain([t for t, w in zip(texts, cut, strict=True) if not w]))
-        get = self.__getitem__
-        return [b"".join([self.first[w[0]], *map(get, w[1:])]) if w else next(whole) for w in cut]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # sorted hashes, and where each one's ids are
+        self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _rows(self, hashed: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Row of the table of chunks for each distinct hash; chunks that aren't there yet are encoded."""
+        rows = np.full(len(hashed), -1, np.int64)
+        for known, at in self.levels:
+            place = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
+            hit = known[place] == hashed
+            rows[hit] = at[place[hit]]
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            found = self.tokenizer.encode_batch_fast([raw[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], add_special_tokens=False)
+            flat = array("i")
+            count = np.empty(len(new), np.int32)
+            for i, e in enumerate(found):
+                ids = e.ids
+                flat.extend(ids)
+                count[i] = len(ids)
+            at = len(self.count) + np.arange(len(new))
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count, dtype=np.int64) - count])
+            self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, np.frombuffer(flat, np.int32)])
+            rows[new] = at
+            own = (hashed[new], at)
+            while self.levels and len(self.levels[-1][0]) <= 4 * len(own[0]):
+                last = self.levels.pop()
+                both = np.concatenate([last[0], own[0]])
+                order = np.argsort(both, kind="stable")
+                own = (both[order], np.concatenate([last[1], own[1]])[order])
+            self.levels.append(own)
+        return rows
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has; ``end_id`` closes each text."""
+        if len(self.count) > CACHE:
+            self._forget()
+        hard = [i for i, t in enumerate(texts) if HARD.search(t)]
+        data = [t.encode() for t in texts]
+        whole = self.plain([texts[i] for i in hard])
+        for i in hard:
+            data[i] = b""
+        joined = b"".join(data)
+        raw = np.frombuffer(joined, np.uint8)
+        bounds = np.cumsum([0, *map(len, data)])
+        total = np.zeros(len(texts), np.int64)
+        flat = np.zeros(0, np.int32)
+        if len(raw):
+            kind = BYTE_KIND[raw]
+            cut = np.zeros(len(raw) + 1, bool)
+            cut[bounds] = True
+            cut[:-1] |= (kind == SPACE) | (kind == BREAK)
+            cut[1:-1] |= (kind[:-1] == BREAK) | ((kind[1:] == STOP) & (kind[:-1] == LETTER))
+            edge = np.flatnonzero(cut)
+            starts, ends = edge[:-1], edge[1:]
+            hashed = span_hashes(raw, starts, ends, CASED)
+            distinct, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
+            rows = self._rows(distinct, joined, starts[first], ends[first])[inverse]
+            count = self.count[rows].astype(np.int64)
+            before = np.concatenate([[0], np.cumsum(count)])
+            flat = self.ids[np.repeat(self.begin[rows] - before[:-1], count) + np.arange(before[-1])]
+            total = np.diff(before[np.searchsorted(starts, bounds)])
+        if not hard and end_id is None:
+            return flat, total
+        parts = np.split(flat, np.cumsum(total)[:-1]) if len(total) else []
+        for i, ids in zip(hard, whole, strict=True):
+            parts[i] = ids
+        close = [np.array([end_id], np.int32)] if end_id is not None else []
+        pieces = [x for p in parts for x in (p, *close)]
+        return (np.concatenate(pieces) if pieces else flat), np.array([len(p) + len(close) for p in parts], np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def _encode(path: str, end: bytes, cuts) -> object:
+def _encode(path: str, end_id: int, cuts, packed: str) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoders.setdefault(path, None) or Encoder(path)
-        _encoders[path] = own
+        if path not in _encoders:
+            _encoders[path] = Encoder(path)
+        own = _encoders[path]
         bounds = np.array(cuts.value, np.int64)
         for b in batches:
             ids, rows = b.column(0), b.column(1).to_pylist()
             for i in range(0, len(rows), 256):
-                raw = [t + end for t in own.encode(rows[i : i + 256])]
+                flat, count = own.encode(rows[i : i + 256], end_id)
                 part = ids.slice(i, 256)
                 at = np.searchsorted(bounds, part.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-                yield pa.RecordBatch.from_arrays([pa.array(at), part, lists], ["shard", "doc_id", "tokens"])
+                data = flat.astype(packed)
+                offsets = np.concatenate([[0], np.cumsum(count)]) * data.itemsize
+                binary = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(at), part, binary], ["shard", "doc_id", "ids"])
 
     return run
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one shard after the other, sorted: ids of the shard before each document."""
-    shard, before = None, 0
-    for b in batches:
-        counts = b.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-        shards = b.column(0).to_numpy()
-        start = np.empty(len(counts), np.int64)
-        for i, (s, n) in enumerate(zip(shards.tolist(), counts.tolist(), strict=True)):
-            before = before if s == shard else 0
-            shard, start[i] = s, before
-            before += n
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(start), pa.array(counts), b.column(2)], ["shard", "doc_id", "local_start", "n_tokens", "tokens"])
+def _number(packed: str) -> object:
+    """Rows of one shard after the other, sorted: ids of the shard before each document, and the ids as a list."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, before = None, 0
+        for b in batches:
+            data = b.column(2).to_pylist()
+            flat = np.frombuffer(b"".join(data), packed)
+            counts = np.array([len(x) for x in data], np.int64) // flat.itemsize
+            start = np.empty(len(counts), np.int64)
+            for i, (s, n) in enumerate(zip(b.column(0).to_pylist(), counts.tolist(), strict=True)):
+                before = before if s == shard else 0
+                shard, start[i] = s, before
+                before += n
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(flat.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(start), pa.array(counts), lists], ["shard", "doc_id", "local_start", "n_tokens", "tokens"])
+
+    return run
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, docs_per_file: int = DOCS_PER_FILE) -> None:
     """Encode every text (null: empty), append ``end_id``, write files of about ``docs_per_file`` documents in doc_id order.
 
     Only ids are read to find the files' bounds (approximate quantiles: any bounds give the same order). Rows of one doc_id stay
-    together, by text hash; null ids come first. Other columns are ignored; an empty table gives a file without rows.
+    together, by their ids; null ids come first. Other columns are ignored; an empty table gives a file without rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -122,9 +195,16 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, d
     files = max(1, min(-(-n // docs_per_file), 100_000))
     cuts = sorted(set(own.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 20 * files)).first()[0])) if files > 1 else []
     held = spark.sparkContext.broadcast(cuts)  # a number for each file
-    coded = own.mapInArrow(_encode(vocabulary, np.array([end_id], "<u4").tobytes(), held), "shard int, doc_id long, tokens array<int>")
-    dealt = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", F.xxhash64("tokens"))
-    dealt.mapInArrow(_number, SCHEMA).write.options(**WRITER).parquet(path)
+    packed = "<u2" if vocabulary_size(vocabulary) <= 1 << 16 else "<u4"
+    coded = own.mapInArrow(_encode(vocabulary, end_id, held, packed), "shard int, doc_id long, ids binary")
+    dealt = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
+    dealt.mapInArrow(_number(packed), SCHEMA).write.options(**WRITER).parquet(path)
+
+
+def vocabulary_size(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
