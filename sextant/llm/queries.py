@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import jaccard_join, merkle, pii, quality, secrets, tokens, toxicity
+from sextant.llm import decontaminate, jaccard_join, merkle, pii, quality, secrets, tokens, toxicity
 from sextant.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.cluster(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 SQL: dict[str, str] = {}
