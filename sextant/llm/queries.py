@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import decontaminate, jaccard_join, merkle, pii, quality, secrets, tokens, toxicity
+from sextant.llm import decontaminate, jaccard_join, merkle, mixing, pii, quality, secrets, tokens, toxicity
 from sextant.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_and_read(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
@@ -54,10 +58,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
     "op4_pii": op4_pii,
+    "op5_mixing": op5_mixing,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontaminate": op10_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_mixing": mixing.sql()}
