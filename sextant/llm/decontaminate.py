@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.llm.common import small_batches, texts
-from sextant.llm.shingles import mix, word_hashes
+from sextant.llm.shingles import chunks, mix, word_hashes
 
 K1, B = 1.2, 0.75
 SEGMENT, STRIDE = 48, 48
@@ -203,7 +203,7 @@ def _searcher(index) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = b.column(1).to_pylist()
-            rows = [(b.column(0)[i + t].as_py(), *rest) for i in range(0, len(data), 256) for t, *rest in matches(index.value, data[i : i + 256])]
+            rows = [(b.column(0)[i + t].as_py(), *rest) for i, j in chunks([len(t) for t in data]) for t, *rest in matches(index.value, data[i:j])]
             if rows:
                 cols = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(cols)], [c.split()[0] for c in COLUMNS.split(", ")])
@@ -250,7 +250,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             import pandas as pd
 
             data = [x or b"" for x in t]
-            bad = {i + m[0] for i in range(0, len(data), 256) for m in matches(held.value, data[i : i + 256])}
+            bad = {i + m[0] for i, j in chunks([len(t) for t in data]) for m in matches(held.value, data[i:j])}
             return pd.Series([k not in bad for k in range(len(data))], dtype="bool")
 
         docs = docs.where(F.pandas_udf(clean, "boolean")(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))

@@ -52,18 +52,24 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(raw, starts, ends, BYTE), np.diff(np.searchsorted(starts, offsets))
 
 
-def sets(texts: list[bytes], most: int = 1 << 20) -> Iterator[np.ndarray]:
-    """The sorted distinct shingles of each text; a text of one to four words has its whole sequence as one, an empty one none."""
+def chunks(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of texts of about ``most`` bytes at most, one text at least."""
     begin = 0
-    while begin < len(texts):
+    while begin < len(sizes):
         end, size = begin, 0
-        while end < len(texts) and (end == begin or size + len(texts[end]) <= most):
-            size += len(texts[end]) + 1
+        while end < len(sizes) and (end == begin or size + sizes[end] < most):
+            size += sizes[end] + 1
             end += 1
-        yield from _sets(texts[begin:end])
+        yield begin, end
         begin = end
 
 
+def sets(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of each text; a text of one to four words has its whole sequence as one, an empty one none."""
+    for i, j in chunks([len(t) for t in texts]):
+        yield from _sets(texts[i:j])
+
+
 def _sets(texts: list[bytes]) -> Iterator[np.ndarray]:
     hashed, counts = word_hashes(texts)
     n = len(hashed)

@@ -7,7 +7,6 @@ so a reader of a few documents or of the metadata alone skips the other pages.
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -18,20 +17,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm.common import shared_dir, small_batches, texts
-from sextant.llm.shingles import span_hashes
+from sextant.llm.shingles import chunks, span_hashes
 
 #: Of one file: about so many documents; each is one task's sorted rows.
 DOCS_PER_FILE = 8192
 #: Chunks that a worker remembers before it forgets them all: bounds its memory.
-CACHE = 1_500_000
-#: White space beside white space, or beyond ASCII.
-HARD = re.compile("\\s\\s|[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+CACHE = 1_200_000
 OTHER, SPACE, BREAK, LETTER, STOP = range(5)
 BYTE_KIND = np.zeros(256, np.uint8)
 BYTE_KIND[32] = SPACE
 BYTE_KIND[[9, 10, 11, 12, 13]] = BREAK
 BYTE_KIND[[*range(65, 91), *range(97, 123)]] = LETTER
-BYTE_KIND[[44, 46]] = STOP
+BYTE_KIND[[*range(33, 39), *range(40, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = STOP  # no apostrophe: it may begin a contraction
 CASED = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 WRITER = {
@@ -52,7 +49,7 @@ class Encoder:
     """Ids of texts, the same as the library's for the whole text, with every distinct chunk of text encoded once.
 
     The vocabulary's pre-tokenizer never joins across a single blank (a space goes with what follows it) nor from a letter to a
-    full stop or comma, so texts are cut there. Chunks are told apart by 64-bit hashes in numpy. Texts in which white space stands
+    mark (other than an apostrophe), so texts are cut there. Chunks are told apart by 64-bit hashes in numpy. Texts in which white space stands
     beside white space, or that hold white space beyond ASCII, are encoded whole. Special tokens' names are ordinary text.
     """
 
@@ -65,30 +62,40 @@ class Encoder:
 
     def _forget(self) -> None:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # sorted hashes, and where each one's ids are
-        self.begin, self.count, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.begin, self.count, self.ids = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32), np.zeros(1 << 17, np.int32)
+        self.n_chunks = self.n_ids = 0
+
+    @staticmethod
+    def _room(a: np.ndarray, n: int) -> np.ndarray:
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, len(a) * 3 // 2) - len(a), a.dtype)])
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _rows(self, hashed: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Row of the table of chunks for each distinct hash; chunks that aren't there yet are encoded."""
-        rows = np.full(len(hashed), -1, np.int64)
+        rows = np.full(len(hashed), -1, np.int32)
         for known, at in self.levels:
             place = np.minimum(np.searchsorted(known, hashed), len(known) - 1)
             hit = known[place] == hashed
             rows[hit] = at[place[hit]]
         new = np.flatnonzero(rows < 0)
         if len(new):
-            found = self.tokenizer.encode_batch_fast([raw[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], add_special_tokens=False)
-            flat = array("i")
-            count = np.empty(len(new), np.int32)
-            for i, e in enumerate(found):
-                ids = e.ids
-                flat.extend(ids)
-                count[i] = len(ids)
-            at = len(self.count) + np.arange(len(new))
-            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count, dtype=np.int64) - count])
-            self.count, self.ids = np.concatenate([self.count, count]), np.concatenate([self.ids, np.frombuffer(flat, np.int32)])
+            flat, count = array("i"), np.empty(len(new), np.int32)
+            for i in range(0, len(new), 4096):  # few of the library's objects at a time
+                part = new[i : i + 4096]
+                found = self.tokenizer.encode_batch_fast([raw[s:e].decode() for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)], add_special_tokens=False)
+                for k, e in enumerate(found, i):
+                    ids = e.ids
+                    flat.extend(ids)
+                    count[k] = len(ids)
+            n, m = self.n_chunks, self.n_ids
+            at = (n + np.arange(len(new))).astype(np.int32)
+            self.n_chunks, self.n_ids = n + len(new), m + len(flat)
+            self.begin, self.count, self.ids = (self._room(x, k) for x, k in ((self.begin, self.n_chunks), (self.count, self.n_chunks), (self.ids, self.n_ids)))
+            self.begin[n : self.n_chunks] = m + np.cumsum(count) - count
+            self.count[n : self.n_chunks] = count
+            self.ids[m : self.n_ids] = np.frombuffer(flat, np.int32)
             rows[new] = at
             own = (hashed[new], at)
             while self.levels and len(self.levels[-1][0]) <= 4 * len(own[0]):
@@ -99,43 +106,51 @@ class Encoder:
             self.levels.append(own)
         return rows
 
-    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row, and how many each text has; ``end_id`` closes each text."""
-        if len(self.count) > CACHE:
+    def encode(self, raw: np.ndarray, bounds: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has; ``end_id`` closes each text. Texts are the bytes of ``raw`` between ``bounds``."""
+        if self.n_chunks > CACHE:
             self._forget()
-        hard = [i for i, t in enumerate(texts) if HARD.search(t)]
-        data = [t.encode() for t in texts]
-        whole = self.plain([texts[i] for i in hard])
-        for i in hard:
-            data[i] = b""
-        joined = b"".join(data)
-        raw = np.frombuffer(joined, np.uint8)
-        bounds = np.cumsum([0, *map(len, data)])
-        total = np.zeros(len(texts), np.int64)
-        flat = np.zeros(0, np.int32)
+        n = len(bounds) - 1
+        total, flat, hard = np.zeros(n, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
         if len(raw):
             kind = BYTE_KIND[raw]
+            blank = (kind == SPACE) | (kind == BREAK)
+            pair = blank[1:] & blank[:-1] | (raw[:-1] == 0xC2) & ((raw[1:] == 0x85) | (raw[1:] == 0xA0)) | (raw[:-1] == 0xE1) & (raw[1:] == 0x9A)
+            pair |= (raw[:-1] == 0xE2) & (raw[1:] <= 0x81) & (raw[1:] >= 0x80) | (raw[:-1] == 0xE3) & (raw[1:] == 0x80)
+            hard = np.unique(np.searchsorted(bounds, np.flatnonzero(pair), side="right") - 1)  # a pair across two texts does no harm
             cut = np.zeros(len(raw) + 1, bool)
+            cut[:-1] = blank
+            letter = kind[:-1] == LETTER
+            letter[1:] |= (raw[:-2] == 0xC3) & (raw[1:-1] >= 0x80) & (raw[1:-1] != 0x97) & (raw[1:-1] != 0xB7)  # of Latin-1, but for the two signs
+            cut[1:-1] |= (kind[:-1] == BREAK) | ((kind[1:] == STOP) & letter)
             cut[bounds] = True
-            cut[:-1] |= (kind == SPACE) | (kind == BREAK)
-            cut[1:-1] |= (kind[:-1] == BREAK) | ((kind[1:] == STOP) & (kind[:-1] == LETTER))
             edge = np.flatnonzero(cut)
             starts, ends = edge[:-1], edge[1:]
-            hashed = span_hashes(raw, starts, ends, CASED)
-            distinct, first, inverse = np.unique(hashed, return_index=True, return_inverse=True)
-            rows = self._rows(distinct, joined, starts[first], ends[first])[inverse]
+            of = np.searchsorted(bounds, starts, side="right") - 1
+            if len(hard):
+                easy = ~np.isin(of, hard)
+                starts, ends, of = starts[easy], ends[easy], of[easy]
+            distinct, first, inverse = np.unique(span_hashes(raw, starts, ends, CASED), return_index=True, return_inverse=True)
+            rows = self._rows(distinct, raw.tobytes(), starts[first], ends[first])[inverse]
             count = self.count[rows].astype(np.int64)
-            before = np.concatenate([[0], np.cumsum(count)])
-            flat = self.ids[np.repeat(self.begin[rows] - before[:-1], count) + np.arange(before[-1])]
-            total = np.diff(before[np.searchsorted(starts, bounds)])
-        if not hard and end_id is None:
+            before = np.cumsum(count) - count
+            flat = self.ids[np.repeat(self.begin[rows].astype(np.int64) - before, count) + np.arange(int(count.sum()))]
+            total = np.bincount(of, count, n).astype(np.int64)
+        if not len(hard) and end_id is None:
             return flat, total
-        parts = np.split(flat, np.cumsum(total)[:-1]) if len(total) else []
-        for i, ids in zip(hard, whole, strict=True):
-            parts[i] = ids
-        close = [np.array([end_id], np.int32)] if end_id is not None else []
-        pieces = [x for p in parts for x in (p, *close)]
-        return (np.concatenate(pieces) if pieces else flat), np.array([len(p) + len(close) for p in parts], np.int64)
+        ends = np.cumsum(total)
+        if len(hard):
+            whole = self.plain([raw[bounds[i] : bounds[i + 1]].tobytes().decode() for i in hard.tolist()])
+            flat = np.insert(flat, np.repeat(ends[hard], [len(x) for x in whole]), np.concatenate(whole))
+            total[hard] = [len(x) for x in whole]
+            ends = np.cumsum(total)
+        if end_id is not None:
+            flat, total = np.insert(flat, ends, end_id), total + 1
+        return flat, total
+
+    def encode_texts(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        data = [t.encode() for t in texts]
+        return self.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), end_id)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -148,15 +163,17 @@ def _encode(path: str, end_id: int, cuts, packed: str) -> object:
         own = _encoders[path]
         bounds = np.array(cuts.value, np.int64)
         for b in batches:
-            ids, rows = b.column(0), b.column(1).to_pylist()
-            for i in range(0, len(rows), 256):
-                flat, count = own.encode(rows[i : i + 256], end_id)
-                part = ids.slice(i, 256)
-                at = np.searchsorted(bounds, part.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
+            ids, text = b.column(0), b.column(1)
+            at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+            raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+            for i, j in chunks(np.diff(at).tolist(), 1 << 19):
+                flat, count = own.encode(raw[at[i] : at[j]], at[i : j + 1] - at[i], end_id)
+                part = ids.slice(i, j - i)
+                shard = np.searchsorted(bounds, part.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
                 data = flat.astype(packed)
                 offsets = np.concatenate([[0], np.cumsum(count)]) * data.itemsize
                 binary = pa.Array.from_buffers(pa.binary(), len(count), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([pa.array(at), part, binary], ["shard", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(shard), part, binary], ["shard", "doc_id", "ids"])
 
     return run
 
@@ -196,7 +213,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, d
     cuts = sorted(set(own.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 20 * files)).first()[0])) if files > 1 else []
     held = spark.sparkContext.broadcast(cuts)  # a number for each file
     packed = "<u2" if vocabulary_size(vocabulary) <= 1 << 16 else "<u4"
-    coded = own.mapInArrow(_encode(vocabulary, end_id, held, packed), "shard int, doc_id long, ids binary")
+    coded = own.select("doc_id", F.col("text").cast("binary")).mapInArrow(_encode(vocabulary, end_id, held, packed), "shard int, doc_id long, ids binary")
     dealt = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
     dealt.mapInArrow(_number(packed), SCHEMA).write.options(**WRITER).parquet(path)
 
