@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm import decontaminate, jaccard_join, merkle, mixing, pii, quality, secrets, tokens, toxicity
+from sextant.llm import decontaminate, jaccard_join, merkle, mixing, pii, ppm, quality, secrets, tokens, toxicity
 from sextant.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": op3_token_files,
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
+    "op6_ppm": op6_ppm,
     "op7_secrets": op7_secrets,
     "op8_quality": op8_quality,
     "op9_jaccard_join": op9_jaccard_join,
