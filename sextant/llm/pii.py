@@ -204,6 +204,14 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _tagged(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+
+def _of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda x: x["kind"] == kind)
+
+
 def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of the base patterns), base_sha256, spans, n_added.
 
@@ -214,7 +222,7 @@ def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     t = F.col("text")
     base = base_spans(t)
     rows = texts(docs).select("doc_id", "text", *[c.alias(f"b_{k}") for k, c in base.items()])
-    tagged = F.concat(*[F.transform(F.col(f"b_{k}"), lambda x, k=k: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS])
+    tagged = F.concat(*[_tagged(F.col(f"b_{k}"), k) for k in KINDS])
     rows = rows.select("doc_id", "text", *[F.size(f"b_{k}").cast("long").alias(f"n_{k}") for k in KINDS], tagged.alias("base"))
     limit = lambda x: F.coalesce(*[F.when(x["kind"] == k, F.lit(float(v))) for k, v in model.thresholds.items()])
     if model.trees:
@@ -226,6 +234,6 @@ def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
         added = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     rows = rows.withColumn("added", added)
     everything = F.concat(F.col("base"), F.col("added"))
-    by_kind = F.concat(*[F.array_sort(F.filter(everything, lambda x, k=k: x["kind"] == k)) for k in KINDS])
+    by_kind = F.concat(*[F.array_sort(_of_kind(everything, k)) for k in KINDS])
     return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(by_kind).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
