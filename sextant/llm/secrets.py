@@ -189,8 +189,13 @@ def tagged(text: str) -> list[tuple[list[list[str]], list[int]]]:
 
 
 def train(docs: DataFrame, bound: int = 3000) -> Field:
-    """Learn from at most ``bound`` texts that hold a digit, those of least xxhash64(text)."""
-    rows = texts(docs).where(F.col("text").rlike("[0-9]{2}")).select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(bound).collect()
+    """Learn from at most ``bound`` texts that hold two digits in a row, those of least xxhash64(doc_id, text).
+
+    The hashes alone are ordered first, so that no task sends more texts than are learned from.
+    """
+    rows = texts(docs).where(F.col("text").rlike("[0-9]{2}")).select("text", F.xxhash64("doc_id", "text").alias("h"))
+    last = rows.select("h").orderBy("h").limit(bound).agg(F.max("h")).first()[0]
+    rows = rows.where(F.col("h") <= last).orderBy("h", "text").limit(bound).collect() if last is not None else []
     return fit([x for r in rows for x in tagged(r.text)])
 
 
