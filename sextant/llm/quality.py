@@ -203,11 +203,14 @@ def with_outcome(scored: DataFrame, mod: int, held: int, threshold: float) -> Da
     return scored.select("doc_id", (fold("doc_id", mod) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``docs`` (its own columns) that score ``threshold`` or more. Scoring is a column, so rows keep their place."""
+def keep_good(docs: DataFrame, corpus: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs`` (its own columns) that score ``threshold`` or more under a model learned from ``corpus`` and ``labels``.
+
+    Scoring is a column, so rows keep their place.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    held = spark.sparkContext.broadcast(train(docs, labels))
+    held = spark.sparkContext.broadcast(train(corpus, labels))
 
     @F.pandas_udf("double")
     def judged(t):
