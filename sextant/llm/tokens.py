@@ -22,7 +22,7 @@ from sextant.llm.shingles import chunks, span_hashes
 #: Of one file: about so many documents; each is one task's sorted rows.
 DOCS_PER_FILE = 8192
 #: Chunks that a worker remembers before it forgets them all: bounds its memory.
-CACHE = 1_200_000
+CACHE = 1_000_000
 OTHER, SPACE, BREAK, LETTER, STOP = range(5)
 BYTE_KIND = np.zeros(256, np.uint8)
 BYTE_KIND[32] = SPACE
@@ -33,11 +33,12 @@ CASED = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np
 
 WRITER = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "v2",
     "parquet.enable.dictionary": "false",
     "parquet.enable.dictionary#shard": "true",
-    "parquet.block.size": str(32 << 20),
-    "parquet.page.size": str(256 << 10),
+    "parquet.block.size": str(16 << 20),
+    "parquet.page.size": str(128 << 10),
     "parquet.page.row.count.limit": "1000",
     "parquet.columnindex.truncate.length": "64",
 }
@@ -58,6 +59,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # every chunk comes once, so the library's own cache is of no use
         self._forget()
 
     def _forget(self) -> None:
@@ -84,11 +87,10 @@ class Encoder:
             flat, count = array("i"), np.empty(len(new), np.int32)
             for i in range(0, len(new), 4096):  # few of the library's objects at a time
                 part = new[i : i + 4096]
-                found = self.tokenizer.encode_batch_fast([raw[s:e].decode() for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)], add_special_tokens=False)
-                for k, e in enumerate(found, i):
-                    ids = e.ids
-                    flat.extend(ids)
-                    count[k] = len(ids)
+                # As words of one sequence: the library treats each by itself and makes a single object for all.
+                got = self.tokenizer.encode([raw[s:e].decode() for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)], is_pretokenized=True, add_special_tokens=False)
+                flat.extend(got.ids)
+                count[i : i + len(part)] = np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))
             n, m = self.n_chunks, self.n_ids
             at = (n + np.arange(len(new))).astype(np.int32)
             self.n_chunks, self.n_ids = n + len(new), m + len(flat)
