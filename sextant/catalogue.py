@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sextant.plans import lexical
+from sextant.plans import lexical, structure
 
-_MODULES = (lexical,)
+_MODULES = (lexical, structure)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
