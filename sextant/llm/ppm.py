@@ -66,15 +66,14 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
 def tally(data: list[bytes], learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of the texts, ascending, and how often those with ``learn`` have each."""
     found = []
-    for i, j in chunks([len(t) for t in data]):
-        for make in (grams, words):
-            keys, size = make(data[i:j])
-            if len(keys):
-                weight = np.repeat(learn[i:j], size)
-                own, inverse = np.unique(keys, return_inverse=True)
-                found.append((own, np.bincount(inverse, weight, len(own)).astype(np.int64)))
-        if sum(len(k) for k, _ in found) > 4_000_000:
-            found = [add_up(found)]
+    for counts in (True, False):
+        own = [t for t, ok in zip(data, learn, strict=True) if bool(ok) == counts]
+        for i, j in chunks([len(t) for t in own]):
+            for make in (grams, words):
+                keys, n = np.unique(make(own[i:j])[0], return_counts=True)
+                found.append((keys, n if counts else np.zeros_like(n)))
+            if sum(len(k) for k, _ in found) > 4_000_000:
+                found = [add_up(found)]
     return add_up(found)
 
 
@@ -223,7 +222,13 @@ def _score(parts: int, ends: int) -> object:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         data = left.column("t").to_pylist()
-        keys, _ = tally(data, np.zeros(len(data)))
+        runs = []
+        for i, j in chunks([len(t) for t in data]):
+            for make in (grams, words):
+                own, size = make(data[i:j])
+                distinct, inverse = np.unique(own, return_inverse=True)
+                runs.append((i, j, size, distinct, inverse.astype(np.int32)))
+        keys = np.unique(np.concatenate([r[3] for r in runs])) if runs else np.zeros(0, np.uint64)
         value = np.zeros(len(keys))
         part = part_of(keys, parts)
         for p, d in zip(right.column("part").to_pylist(), right.column("data").to_pylist(), strict=True):
@@ -232,15 +237,15 @@ def _score(parts: int, ends: int) -> object:
         n_tokens, known, base, score = (np.zeros(len(data)) for _ in range(4))
         seen, kind = total + ends, kinds + (ends > 0)
         scale = np.log10(seen + 0.1 * (kind + 1))
-        for i, j in chunks([len(t) for t in data]):
-            own, size = grams(data[i:j])
-            score[i:j] = np.add.reduceat(value[np.searchsorted(keys, own)], np.cumsum(size) - size)
-            own, size = words(data[i:j])
-            of = np.repeat(np.arange(i, j), size)
-            c = value[np.searchsorted(keys, own)] if len(own) else np.zeros(0)
+        for k, (i, j, size, distinct, inverse) in enumerate(runs):
+            own = value[np.searchsorted(keys, distinct)]
+            if k % 2 == 0:  # grams, then words of the same texts
+                score[i:j] = np.add.reduceat(own[inverse], np.cumsum(size) - size)
+                continue
+            of = np.repeat(np.arange(j - i), size)
             n_tokens[i:j] = size + 1
-            known += np.bincount(of, c > 0, len(data))
-            base += np.bincount(of, np.log10(c + 0.1), len(data))
+            known[i:j] = np.bincount(of, (own > 0)[inverse], j - i)
+            base[i:j] = np.bincount(of, np.log10(own + 0.1)[inverse], j - i)
         base += np.log10(ends + 0.1) - scale * n_tokens
         known += ends > 0
         n = np.full(len(data), seen, np.int64)
