@@ -110,7 +110,8 @@ def build(items: list[tuple[int, bytes]]) -> Index:
         if not len(hashed):
             continue
         middle = -(-len(hashed) // 2)
-        halves[item] = [(n := max(1, min(NGRAM, len(h))), np.unique(ngrams(h, n))) for h in (hashed[:middle], hashed[middle:]) if len(h)]
+        parts = (hashed[:middle], hashed[middle:]) if len(hashed) >= 2 * NGRAM else (hashed,)  # a short item must stand there whole
+        halves[item] = [(n := NGRAM if len(parts) == 2 else len(h), np.unique(ngrams(h, n))) for h in parts]
         for i in range(0, len(hashed), SEGMENT):
             part = hashed[i : i + SEGMENT]
             if i and len(part) < SEGMENT // 2:  # a short rest is found with the segment before it

@@ -114,9 +114,9 @@ def fit(sample: list[tuple[bytes, int]], epochs: int = 14, rate: float = 0.4, se
     def word_values() -> np.ndarray:
         return np.add.reduceat(model.logits()[flat], begin) / sizes
 
-    for epoch in range(epochs):
+    for epoch in range(epochs):  # about forty steps an epoch at least, so that a small sample is learned too
         values = word_values()
-        for part in np.array_split(rng.permutation(learn), max(1, len(learn) // 128)):
+        for part in np.array_split(rng.permutation(learn), max(1, len(learn) // min(128, max(8, len(learn) // 40)))):
             bags, labels, cost = [], [], []
             for i in part:
                 d = docs[i]
