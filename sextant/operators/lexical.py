@@ -222,7 +222,7 @@ def evidence(units: DataFrame, terms: list[Term], df: dict[str, int], head: floa
                 rows.append((path, out))
             yield pd.DataFrame(rows, columns=["path", "shown"])
 
-    lines = F.split(F.substring("body", 1, T.MAX_BODY), "\n")
+    lines = F.split(F.substring(F.coalesce("body", F.lit("")), 1, T.MAX_BODY), "\n")
     return units.select("path", lines.alias("lines"), F.transform(lines, T.tokenize).alias("toks")).mapInPandas(pick, "path string, shown array<string>")
 
 
