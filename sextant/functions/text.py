@@ -17,10 +17,14 @@ CHARS_PER_TOKEN, OPTION_TOKENS, LEAST_OPTION, MOST_OPTION = 3.68, 12_000, 45, 16
 _CASE_EDGE = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z](?:[a-rt-z]|s[a-z]))"
 
 
+def _parts(text: Column) -> Column:
+    """Lower-case parts, with empty ones. Once only ASCII letters, digits and blanks are left, all is lower-cased at once."""
+    return F.split(F.lower(F.regexp_replace(F.regexp_replace(text, _CASE_EDGE, " "), "[^A-Za-z0-9]+", " ")), " ")
+
+
 def split_ident(text: Column) -> Column:
     """Lower-case parts of identifiers; whatever is not an ASCII letter or digit separates (T1). Split first, then lower-case."""
-    parts = F.split(F.regexp_replace(text, _CASE_EDGE, " "), "[^A-Za-z0-9]+")
-    return F.transform(F.filter(parts, lambda x: x != ""), F.lower)
+    return F.filter(_parts(text), lambda x: x != "")
 
 
 def stem(word: Column) -> Column:
@@ -37,7 +41,7 @@ def stem(word: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Index tokens: parts of 2 to 32 characters with a letter, stemmed."""
-    return F.transform(F.filter(split_ident(text), lambda x: F.length(x).between(2, 32) & x.rlike("[a-z]")), stem)
+    return F.transform(F.filter(_parts(text), lambda x: F.length(x).between(2, 32) & x.rlike("[a-z]")), stem)
 
 
 def body_text(body: Column) -> Column:
