@@ -124,23 +124,26 @@ def search(index: Index, terms: list[Term], view: str = "all", scope: str = "",
 
 def search_units(units: DataFrame, terms: list[Term], view: str = "all", scope: str = "", limit: int | None = 20) -> DataFrame:
     """The same without an index: one pass over the units, and rows only for those that hold a query word."""
-    live = [t for t in terms if t.weight > 0]
+    live = [t for t in terms if t.weight > 0 and t.variants]
+    if not live:
+        return units.sparkSession.createDataFrame([], "path string, score double, matched string, rank int")
     toks = field_tokens(units)
     count = lambda f, v: F.least(F.size(F.filter(f"t_{f}", lambda x: x == v)), F.lit(T.MAX_TF))
     cols = [F.struct(*[count(f, v).alias(f"tf_{f}") for f in VIEWS[view]]).alias(f"v{i}_{k}") for i, t in enumerate(live) for k, v in enumerate(dict.fromkeys(t.variants))]
     narrow = toks.select("path", *[F.size(f"t_{f}").alias(f"len_{f}") for f in FIELDS], *cols)
-    means = corpus_stats(narrow)
-    rows = narrow.crossJoin(F.broadcast(means))
+    means = [F.coalesce(F.nullif(F.avg(f"len_{f}"), F.lit(0.0)), F.lit(1.0)).alias(f"avg_{f}") for f in FIELDS]
+    some = [F.greatest(F.lit(0), *[F.col(f"v{i}_{k}.tf_{f}") for k in range(len(dict.fromkeys(t.variants))) for f in VIEWS[view]]) for i, t in enumerate(live)]
+    stats = narrow.agg(F.count("*").alias("n"), *means, *[F.coalesce(F.sum((s > 0).cast("int")), F.lit(0)).alias(f"d{i}") for i, s in enumerate(some)])
+    rows = narrow.crossJoin(F.broadcast(stats))  # one row of statistics
     for i, t in enumerate(live):
         parts = []
         for k in range(len(dict.fromkeys(t.variants))):
             parts += [WEIGHT[f] * F.col(f"v{i}_{k}.tf_{f}") / (1 - B[f] + B[f] * F.col(f"len_{f}") / F.col(f"avg_{f}")) for f in VIEWS[view]]
-        rows = rows.withColumn(f"a{i}", reduce(lambda a, b: a + b, parts))
-    rows = rows.select("path", "n", *[f"a{i}" for i in range(len(live))]).where(reduce(lambda a, b: a | b, [F.col(f"a{i}") > 0 for i in range(len(live))], F.lit(False)))
-    df = rows.agg(*[F.sum((F.col(f"a{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(live))])
+        rows = rows.withColumn(f"a{i}", reduce(lambda a, b: a + b, parts, F.lit(0.0)))
+    rows = rows.select("path", "n", *[f"d{i}" for i in range(len(live))], *[f"a{i}" for i in range(len(live))])
     gains = [float(t.weight) * idf(F.col("n"), F.col(f"d{i}")) * F.col(f"a{i}") / (K1 + F.col(f"a{i}")) for i, t in enumerate(live)]
     labels = F.filter(F.array(*[F.when(F.col(f"a{i}") > 0, F.lit(t.label)) for i, t in enumerate(live)]), lambda x: x.isNotNull())
-    scored = rows.crossJoin(F.broadcast(df)).select("path", reduce(lambda a, b: a + b, gains).alias("score"), F.array_join(labels, ",").alias("matched"))
+    scored = rows.select("path", reduce(lambda a, b: a + b, gains, F.lit(0.0)).alias("score"), F.array_join(labels, ",").alias("matched"))
     return ranked(scored, scope, limit)
 
 
