@@ -80,7 +80,7 @@ class Library:
         hits = written(lexical.pool(self.index, terms, scope))
         small = self.files.where(lexical.T.under(F.col("path"), scope)).limit(WHOLE_SCOPE + 1).count() <= WHOLE_SCOPE
         lane = self.files.where(lexical.T.under(F.col("path"), scope)).select("path") if small else hits.select("path")
-        judged = written(by.score(self.files.join(lane, "path", "left_semi").withColumn("unit", F.col("path")), "shortlist").select("path", "noul"))
+        judged = written(by.score(self.files.join(lane, "path", "left_semi").withColumn("unit", F.col("path")), "shortlist").select("path", "belief"))
         chosen = navigate.find_candidates(judged, hits).select("path")
         first = self._verify(chosen, by)
         best = first.agg(F.max("score")).first()[0] or 0.0
@@ -98,11 +98,11 @@ class Library:
 
     def _verify(self, paths: DataFrame, by: judge.Judge) -> DataFrame:
         rows = by.score(self.files.join(paths, "path", "left_semi").withColumn("unit", F.col("path")), "verify")
-        return written(rows.select("path", F.col("noul").alias("score"), F.lit(0.0).alias("pick")))
+        return written(rows.select("path", F.col("belief").alias("score"), F.lit(0.0).alias("pick")))
 
     def _children(self, judged: DataFrame) -> DataFrame:
         """A child's probability is its share of its siblings' heat."""
-        warm = tree.heat(judged.withColumnRenamed("noul", "value")).withColumn("heat", F.col("heat") + 0.01)
+        warm = tree.heat(judged.withColumnRenamed("belief", "value")).withColumn("heat", F.col("heat") + 0.01)
         rows = self.tree.where("path <> ''").join(warm, "path", "left").withColumn("heat", F.coalesce("heat", F.lit(0.01)))
         total = rows.groupBy("parent").agg(F.sum("heat").alias("all"))
         return rows.join(total, "parent").select("parent", "path", "kind", (F.col("heat") / F.col("all")).alias("p"), F.lit(1.0).alias("under"))
@@ -115,9 +115,9 @@ class Library:
         by = by or judge.Overlap(typed)
         named = lexical.search(self.index, terms + near, "path", scope, PREFILTER).select("path")
         told = lexical.search(self.index, terms + near, "all", scope, PREFILTER).select("path")
-        judged = written(by.score(self.files.join(named.union(told).distinct(), "path", "left_semi").withColumn("unit", F.col("path")), "member").select("path", "noul"))
+        judged = written(by.score(self.files.join(named.union(told).distinct(), "path", "left_semi").withColumn("unit", F.col("path")), "member").select("path", "belief"))
         rows = [r.asDict() for r in navigate.map_results(judged).collect()]
-        warm = {r.path: r.heat for r in tree.heat(judged.withColumnRenamed("noul", "value"), True).orderBy(F.desc("heat"), "path").limit(navigate.MEMBER_ROWS).collect()}
+        warm = {r.path: r.heat for r in tree.heat(judged.withColumnRenamed("belief", "value"), True).orderBy(F.desc("heat"), "path").limit(navigate.MEMBER_ROWS).collect()}
         return Result(rows, "found" if rows else "absent", {"heat": warm})
 
     def explain(self, question: str, scope: str = "", by: judge.Judge | None = None, depth: int = 3) -> Result:
@@ -125,7 +125,7 @@ class Library:
         subject = query.topic(question)
         members = self.map(subject, scope, by).rows
         spark = self.files.sparkSession
-        rows = spark.createDataFrame([(m["path"], m["noul"]) for m in members], "path string, score double")
+        rows = spark.createDataFrame([(m["path"], m["belief"]) for m in members], "path string, score double")
         near = tree.nearest(rows, self.tree.where("depth = 1 and kind = 'dir'").select(F.col("path").alias("dir")))
         front = written(flow.seeds(rows.join(near, "path")))
         drawn = front.select("path", F.col("score").alias("part"), F.lit(True).alias("seed"))
@@ -133,7 +133,7 @@ class Library:
         for _ in range(depth):
             placed = front.select("path", F.row_number().over(flow.Window.orderBy("path")).alias("place"))
             new = flow.expand(placed, self.edges, drawn)
-            front = written(by.score(self.files.join(new.select("path"), "path", "left_semi").withColumn("unit", F.col("path")), "flow").select("path", F.col("noul").alias("part")))
+            front = written(by.score(self.files.join(new.select("path"), "path", "left_semi").withColumn("unit", F.col("path")), "flow").select("path", F.col("belief").alias("part")))
             drawn = written(drawn.unionByName(front.withColumn("seed", F.lit(False))))
             front = front.where(F.col("part") >= flow.EXPAND)
             if not front.limit(1).count():

@@ -77,3 +77,29 @@ def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
     """One row: a digest of the rows as a set, whatever their order."""
     each = rows.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h")).distinct()
     return each.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list(F.substring("h", 1, 16)))), 256).alias("digest"))
+
+
+def score_rows(results: DataFrame, k: int = 10) -> DataFrame:
+    """Of each task and strategy: hit@1 and hit@k (E4). Columns: task, strategy, ranked, accept array<string>.
+
+    A task without accepted paths is a hit when nothing is returned.
+    """
+    nothing = F.size("accept") == 0
+    hit = lambda n: F.when(nothing, F.size("ranked") == 0).otherwise(F.arrays_overlap(F.slice("ranked", 1, n), "accept"))
+    return results.select("task", "strategy", hit(1).cast("int").alias("hit1"), hit(k).cast("int").alias(f"hit{k}"))
+
+
+def loss_histogram(losses: DataFrame) -> DataFrame:
+    """strategy and a map from the stage at which an answer was lost to how many were (E4). Columns: strategy, stage."""
+    counts = losses.groupBy("strategy", "stage").agg(F.count("*").alias("n"))
+    return counts.groupBy("strategy").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "n")))).alias("lost"))
+
+
+def stage_ranks(trace: DataFrame, accept: DataFrame) -> DataFrame:
+    """Of each task and stage of a trace: the best rank of an accepted path, null where none got there.
+
+    ``trace``: task, stage, path, score; ``accept``: task, path.
+    """
+    ranked = trace.withColumn("rank", F.row_number().over(Window.partitionBy("task", "stage").orderBy(F.desc("score"), "path")))
+    own = ranked.join(accept.select("task", "path").withColumn("ok", F.lit(True)), ["task", "path"], "left")
+    return own.groupBy("task", "stage").agg(F.min(F.when(F.col("ok"), F.col("rank"))).alias("rank"))

@@ -18,7 +18,7 @@ PRICE = 0.042
 
 class Judge(Protocol):
     def score(self, rows: DataFrame, stage: str) -> DataFrame:
-        """Rows (unit, …) with a column ``noul`` between 0 and 1."""
+        """Rows (unit, …) with a column ``belief`` between 0 and 1."""
 
 
 class Overlap:
@@ -29,18 +29,18 @@ class Overlap:
 
     def score(self, rows: DataFrame, stage: str) -> DataFrame:
         hits = [F.lower("text").contains(w.lower()).cast("int") for w in self.words]
-        return rows.withColumn("noul", F.round(sum(hits[1:], hits[0]) / len(hits), 6) if hits else F.lit(0.0))
+        return rows.withColumn("belief", F.round(sum(hits[1:], hits[0]) / len(hits), 6) if hits else F.lit(0.0))
 
 
 class Replay:
-    """Recorded judgments (stage, unit, noul); a unit without one has 0."""
+    """Recorded judgments (stage, unit, belief); a unit without one has 0."""
 
     def __init__(self, judgments: DataFrame) -> None:
         self.judgments = judgments
 
     def score(self, rows: DataFrame, stage: str) -> DataFrame:
-        own = self.judgments.where(F.col("stage") == stage).groupBy("unit").agg(F.max("noul").alias("noul"))
-        return rows.join(own, "unit", "left").withColumn("noul", F.coalesce("noul", F.lit(0.0)))
+        own = self.judgments.where(F.col("stage") == stage).groupBy("unit").agg(F.max("belief").alias("belief"))
+        return rows.join(own, "unit", "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
 
 
 def batches(rows: DataFrame, stage: str, order: str) -> DataFrame:
@@ -50,7 +50,7 @@ def batches(rows: DataFrame, stage: str, order: str) -> DataFrame:
 
 def invalid(judgments: DataFrame) -> DataFrame:
     """Judgments that no judge may give."""
-    return judgments.where(~F.coalesce(F.col("noul").between(0, 1), F.lit(False)) | F.isnan("noul"))
+    return judgments.where(~F.coalesce(F.col("belief").between(0, 1), F.lit(False)) | F.isnan("belief"))
 
 
 def merge_choices(chunks: DataFrame) -> DataFrame:

@@ -19,14 +19,14 @@ STAGES = ("unseen", "unretrieved", "first_hop", "descent", "unverified", "shortl
 
 def find_candidates(judged: DataFrame, hits: DataFrame) -> DataFrame:
     """path and place: the best judged, then lexical hits that aren't among them (NAV2)."""
-    best = judged.orderBy(F.desc("noul"), "path").limit(KEEP_SEMANTIC).select("path", F.lit(0).alias("lane"), (-F.col("noul")).alias("k"))
+    best = judged.orderBy(F.desc("belief"), "path").limit(KEEP_SEMANTIC).select("path", F.lit(0).alias("lane"), (-F.col("belief")).alias("k"))
     more = hits.join(best.select("path"), "path", "left_anti").orderBy("rank").limit(KEEP_LEXICAL).select("path", F.lit(1).alias("lane"), F.col("rank").cast("double").alias("k"))
     return best.unionByName(more).withColumn("place", F.row_number().over(Window.orderBy("lane", "k", "path"))).select("path", "lane", "place")
 
 
 def map_results(judged: DataFrame) -> DataFrame:
     """Members: judged half-way or better, the best rows (NAV13)."""
-    return judged.where(F.col("noul") >= PARTIAL).orderBy(F.desc("noul"), "path").limit(MEMBER_ROWS)
+    return judged.where(F.col("belief") >= PARTIAL).orderBy(F.desc("belief"), "path").limit(MEMBER_ROWS)
 
 
 def merge_verified(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def jaccard_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def find_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    own = judged(spark, sf).select("path", F.coalesce("value", F.lit(0.0)).alias("noul"))
+    own = judged(spark, sf).select("path", F.coalesce("value", F.lit(0.0)).alias("belief"))
     return N.find_candidates(own, lexical.QUERIES["bm25f_all"](spark, sf))
 
 
@@ -75,7 +75,7 @@ def verdicts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def map_results(spark: SparkSession, sf: str) -> DataFrame:
-    return N.map_results(judged(spark, sf).select("path", F.coalesce("value", F.lit(0.0)).alias("noul")))
+    return N.map_results(judged(spark, sf).select("path", F.coalesce("value", F.lit(0.0)).alias("belief")))
 
 
 def beam_walk(spark: SparkSession, sf: str) -> DataFrame:
@@ -213,7 +213,7 @@ SQL = {
         m AS (SELECT path, 1 AS lane, rank::DOUBLE AS k FROM h WHERE path NOT IN (SELECT path FROM b) ORDER BY rank LIMIT 8), u AS (SELECT * FROM b UNION ALL SELECT * FROM m)
         SELECT path, lane, row_number() OVER (ORDER BY lane, k, path)::INT AS place FROM u""",
     "verdicts": f"WITH {_JUDGED} SELECT CASE WHEN coalesce(value, 0) >= 0.7 THEN 'found' WHEN coalesce(value, 0) >= 0.35 THEN 'partial' ELSE 'absent' END AS verdict, count(*) AS n FROM j GROUP BY 1",
-    "map_results": f"WITH {_JUDGED} SELECT path, value AS noul FROM j WHERE value >= 0.35 ORDER BY noul DESC, path LIMIT 80",
+    "map_results": f"WITH {_JUDGED} SELECT path, value AS belief FROM j WHERE value >= 0.35 ORDER BY belief DESC, path LIMIT 80",
     "beam_walk": f"""WITH x AS (SELECT lang, lang || '/' || source AS s, lang || '/' || source || '/doc_' || doc_id || '.txt' AS d, n_chars FROM documents),
         a AS (SELECT '' AS parent, lang AS path, 'dir' AS kind, sum(n_chars) AS size FROM x GROUP BY lang UNION ALL SELECT lang, s, 'dir', sum(n_chars) FROM x GROUP BY lang, s UNION ALL SELECT s, d, 'file', n_chars FROM x),
         t AS (SELECT parent, path, kind, size / sum(size) OVER (PARTITION BY parent) AS p FROM a), w0 AS (SELECT '' AS path, 'dir' AS kind, 1.0::DOUBLE AS product, 0 AS decisions, 1.0::DOUBLE AS score),

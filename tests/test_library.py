@@ -115,9 +115,9 @@ def test_metrics(spark):
 
 def test_judges_and_walk(spark):
     rows = spark.createDataFrame([("u", "alpha beta"), ("v", "none")], "unit string, text string")
-    assert {r.unit: r.noul for r in judge.Overlap(["alpha", "beta"]).score(rows, "member").collect()} == {"u": 1.0, "v": 0.0}
-    record = spark.createDataFrame([("member", "v", 0.4)], "stage string, unit string, noul double")
-    assert {r.unit: r.noul for r in judge.Replay(record).score(rows, "member").collect()} == {"u": 0.0, "v": 0.4}
+    assert {r.unit: r.belief for r in judge.Overlap(["alpha", "beta"]).score(rows, "member").collect()} == {"u": 1.0, "v": 0.0}
+    record = spark.createDataFrame([("member", "v", 0.4)], "stage string, unit string, belief double")
+    assert {r.unit: r.belief for r in judge.Replay(record).score(rows, "member").collect()} == {"u": 0.0, "v": 0.4}
     children = spark.createDataFrame([("", "a", "dir", 0.6, 1.0), ("", "b", "dir", 0.4, 1.0), ("a", "a/x", "file", 0.5, 0.05), ("b", "b/y", "file", 0.9, 0.9)], "parent string, path string, kind string, p double, under double")
     assert [(r.path, r.score) for r in navigate.walk(children).collect()] == [("b/y", 0.6)]
     assert navigate.strategy("How does it work") == "explain" and navigate.strategy("where", "map") == "map" and navigate.clean_params(99, float("nan"), "/a/") == (10, 12, "a")
@@ -145,3 +145,14 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert got and got.items() <= want.items()
     first = {r.id: r.decision for r in ledger.admissions(df, 3, 5).collect()}
     assert sum(d == "admitted" for d in first.values()) == 15
+
+
+def test_rows_of_strategies(spark):
+    rows = [("a", "find", ["x", "y"], ["y"]), ("b", "find", [], []), ("c", "walk", ["z"], [])]
+    got = {r.task: (r.hit1, r.hit10) for r in evaluate.score_rows(spark.createDataFrame(rows, "task string, strategy string, ranked array<string>, accept array<string>")).collect()}
+    assert got == {"a": (0, 1), "b": (1, 1), "c": (0, 0)}
+    lost = evaluate.loss_histogram(spark.createDataFrame([("find", "rank"), ("find", "rank"), ("walk", "unseen")], "strategy string, stage string")).collect()
+    assert {r.strategy: r.lost for r in lost} == {"find": {"rank": 2}, "walk": {"unseen": 1}}
+    trace = spark.createDataFrame([("a", "pool", "x", 2.0), ("a", "pool", "y", 1.0), ("a", "verify", "x", 1.0)], "task string, stage string, path string, score double")
+    ranks = evaluate.stage_ranks(trace, spark.createDataFrame([("a", "y")], "task string, path string")).collect()
+    assert {r.stage: r["rank"] for r in ranks} == {"pool": 2, "verify": None}
