@@ -51,14 +51,14 @@ class Encoder:
 
     The vocabulary's pre-tokenizer never joins across a single blank (a space goes with what follows it) nor from a letter to a
     mark (other than an apostrophe), so texts are cut there. Chunks are told apart by 64-bit hashes in numpy. Texts in which white space stands
-    beside white space, or that hold white space beyond ASCII, are encoded whole. Special tokens' names are ordinary text.
+    beside white space, or that hold white space beyond ASCII or the content of an added token, are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # every chunk comes once, so the library's own cache is of no use
         self._forget()
@@ -75,6 +75,19 @@ class Encoder:
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _with_added(self, raw: bytes, bounds: np.ndarray) -> np.ndarray:
+        """Texts that hold an added token's content; one across two texts doesn't count."""
+        found = []
+        for content in self.added:
+            at = raw.find(content)
+            while at >= 0:
+                i = int(np.searchsorted(bounds, at, side="right")) - 1
+                inside = at + len(content) <= bounds[i + 1]
+                if inside:
+                    found.append(i)
+                at = raw.find(content, int(bounds[i + 1]) if inside else at + 1)
+        return np.array(found, np.int64)
+
     def _rows(self, hashed: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Row of the table of chunks for each distinct hash; chunks that aren't there yet are encoded."""
         rows = np.full(len(hashed), -1, np.int32)
@@ -115,11 +128,12 @@ class Encoder:
         n = len(bounds) - 1
         total, flat, hard = np.zeros(n, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
         if len(raw):
+            data = raw.tobytes()
             kind = BYTE_KIND[raw]
             blank = (kind == SPACE) | (kind == BREAK)
             pair = blank[1:] & blank[:-1] | (raw[:-1] == 0xC2) & ((raw[1:] == 0x85) | (raw[1:] == 0xA0)) | (raw[:-1] == 0xE1) & (raw[1:] == 0x9A)
             pair |= (raw[:-1] == 0xE2) & (raw[1:] <= 0x81) & (raw[1:] >= 0x80) | (raw[:-1] == 0xE3) & (raw[1:] == 0x80)
-            hard = np.unique(np.searchsorted(bounds, np.flatnonzero(pair), side="right") - 1)  # a pair across two texts does no harm
+            hard = np.union1d(np.searchsorted(bounds, np.flatnonzero(pair), side="right") - 1, self._with_added(data, bounds))  # a pair across two texts does no harm
             cut = np.zeros(len(raw) + 1, bool)
             cut[:-1] = blank
             letter = kind[:-1] == LETTER
@@ -133,7 +147,7 @@ class Encoder:
                 easy = ~np.isin(of, hard)
                 starts, ends, of = starts[easy], ends[easy], of[easy]
             distinct, first, inverse = np.unique(span_hashes(raw, starts, ends, CASED), return_index=True, return_inverse=True)
-            rows = self._rows(distinct, raw.tobytes(), starts[first], ends[first])[inverse]
+            rows = self._rows(distinct, data, starts[first], ends[first])[inverse]
             count = self.count[rows].astype(np.int64)
             before = np.cumsum(count) - count
             flat = self.ids[np.repeat(self.begin[rows].astype(np.int64) - before, count) + np.arange(int(count.sum()))]

@@ -119,6 +119,19 @@ def test_chunks_change_no_ids(t):
     assert flat.tolist() == np.concatenate(plain).tolist() and count.tolist() == [len(p) for p in plain]
 
 
+def test_added_tokens_keep_their_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    rows = list(enumerate(["see <|endoftext|> now", "plain words", "ends in <|endof", "text|> begins", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c", "", "see it now"]))
+    ids = [[*t.encode(x, add_special_tokens=False).ids, 0] for _, x in rows]
+    assert ids[0] == [3826, 220, 50256, 783, 0]
+    path = "file://" + str(tmp_path / "ids")
+    tokens.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path, vocabulary())
+    got = tokens.read_tokens(spark, path).orderBy("start").collect()
+    assert [list(r.tokens) for r in got] == ids and [r.start for r in got] == [sum(map(len, ids[:i])) for i in range(len(ids))]
+
+
 def brute_components(rows):
     sets = []
     for _, t in rows:
