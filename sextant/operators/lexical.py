@@ -92,6 +92,17 @@ def group_df(index: Index, terms: list[Term]) -> DataFrame:
     return index.postings.join(F.broadcast(term_rows(index.postings.sparkSession, terms)), "term").groupBy("label").agg(F.countDistinct("path").alias("df"))
 
 
+def unit_df(units: DataFrame, terms: list[Term]) -> dict[str, int]:
+    """The same without an index, as a dict: one pass over the units; a term without documents has 0."""
+    live = [t for t in terms if t.weight > 0 and t.variants]
+    if not live:
+        return {}
+    held = lambda t: F.exists("t_all", lambda x: x.isin(*t.variants))
+    toks = field_tokens(units).select(F.concat(*[f"t_{f}" for f in FIELDS]).alias("t_all"))
+    row = toks.agg(*[F.count_if(held(t)).alias(f"d{i}") for i, t in enumerate(live)]).first()
+    return {t.label: row[i] for i, t in enumerate(live)}
+
+
 def term_rows(spark: SparkSession, terms: list[Term]) -> DataFrame:
     rows = [(i, t.label, v, float(t.weight)) for i, t in enumerate(terms) if t.weight > 0 for v in dict.fromkeys(t.variants)]
     return spark.createDataFrame(rows, "ti int, label string, term string, weight double")

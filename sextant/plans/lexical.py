@@ -87,7 +87,7 @@ def prefix_relatives(spark: SparkSession, sf: str) -> DataFrame:
     return L.relatives(vocab_df(spark, sf), ["thing", "edition", "ention"])
 
 
-#: Document counts of the fixed query's terms as evidence sees them.
+#: Document counts that line_evidence_scores and its SQL take for the fixed query's terms; evidence_windows counts its own.
 DF = {"hand": 40, "thing": 300, "ention": 200}
 
 
@@ -96,7 +96,8 @@ def line_evidence_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evidence_windows(spark: SparkSession, sf: str) -> DataFrame:
-    return L.evidence(units(spark, sf), TERMS[:3], DF)
+    u = units(spark, sf)
+    return L.evidence(u, TERMS[:3], L.unit_df(u, TERMS[:3]))
 
 
 QUERIES = {

@@ -9,6 +9,7 @@ from sextant.functions import query as Q
 from sextant.functions import text as T
 from sextant.operators import dense, evaluate, flow, graph, judge, navigate, resolve
 from sextant.operators import lexical as L
+from sextant.plans import lexical as plans
 from sextant.sources import snapshot
 from sextant.streaming import ledger
 
@@ -156,3 +157,13 @@ def test_rows_of_strategies(spark):
     trace = spark.createDataFrame([("a", "pool", "x", 2.0), ("a", "pool", "y", 1.0), ("a", "verify", "x", 1.0)], "task string, stage string, path string, score double")
     ranks = evaluate.stage_ranks(trace, spark.createDataFrame([("a", "y")], "task string, path string")).collect()
     assert {r.stage: r["rank"] for r in ranks} == {"pool": 2, "verify": None}
+
+
+def test_evidence_weighs_by_counted_documents(spark, tmp_path):
+    """Here "thing" is rarer than "hand", so its line comes before the third line of "hand"."""
+    body = "\n".join(["head"] * 8 + ["x"] * 5 + ["a hand"] + ["x"] * 9 + ["my hand"] + ["x"] * 9 + ["one hand"] + ["x"] * 9 + ["things"] + ["x"] * 9)
+    rows = [(0, body, "en", "s"), (1, "hand", "en", "s"), (2, "a hand", "en", "s"), (3, "nothing", "en", "s"), (4, None, "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.path: r.shown for r in plans.evidence_windows(spark, str(tmp_path)).collect()}["en/s/doc_0.txt"]
+    assert any(x.endswith(": things") for x in got) and not any(x.endswith(": one hand") for x in got)
+    assert L.unit_df(plans.units(spark, str(tmp_path)), plans.TERMS[:3]) == {"hand": 3, "thing": 1, "ention": 0}
