@@ -2,7 +2,8 @@
 
 A word is the mean of the vectors of its hashed character n-grams (and of itself); a window of words is the mean of its
 words; a linear softmax reads that mean. A long text is as toxic as its worst window, so that one insult in a long text is not
-averaged away: training passes the gradient through that window. Unseen misspellings share n-grams with seen words.
+averaged away: training passes the gradient through that window. Unseen misspellings share n-grams with seen words. What stands
+between blanks and is longer than LONG bytes (CJK, minified text) counts as overlapping pieces, each a word of the windows.
 """
 
 from __future__ import annotations
@@ -26,15 +27,33 @@ DIM = 12
 WINDOW, STRIDE = 12, 4
 #: Words that a worker remembers before it forgets them all: bounds its memory.
 CACHE = 400_000
+#: Bytes of the longest word that counts as one; of a piece of a longer one, and from piece to piece.
+LONG, PIECE, STEP = 96, 16, 8
 STRIP = b".,;:!?\"'()[]|*#$%&"
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """Words at ASCII white space. One over LONG bytes gives pieces that hold all of its n-grams, the last flush with its end."""
+    words = text.split()
+    if len(text) <= LONG or max(map(len, words), default=0) <= LONG:
+        return words
+    out = []
+    for w in words:
+        bare = w if len(w) <= LONG else w.strip(STRIP)
+        bare = bare or w  # nothing but punctuation
+        if len(bare) <= LONG:
+            out.append(bare)
+        else:
+            out += [bare[k : k + PIECE] for k in (*range(0, len(bare) - PIECE, STEP), len(bare) - PIECE)]
+    return out
+
+
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all words in a row, and how many each word has: itself and its 3- to 6-byte n-grams between end marks.
 
     ASCII case and punctuation at the edges don't count. All words are hashed at once, as one buffer.
     """
-    bare = [b"^%b$" % (w.lower().strip(STRIP)[:96] or w[:96]) for w in words]
+    bare = [b"^%b$" % (w.lower().strip(STRIP) or w) for w in words]
     size = np.fromiter(map(len, bare), np.int64, len(bare))
     raw = np.frombuffer(b"".join(bare) + b"\0" * 6, np.uint8).astype(np.uint32)
     total = len(raw) - 6
@@ -101,7 +120,7 @@ def fit(sample: list[tuple[bytes, int]], epochs: int = 14, rate: float = 0.4, se
         return model
     model.softmax[:] = rng.normal(0, 0.3, (2, DIM))
     ids: dict[bytes, int] = {}
-    docs = [once(np.array([ids.setdefault(w, len(ids)) for w in t.split()], np.int64)) for t, _ in sample]
+    docs = [once(np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int64)) for t, _ in sample]
     flat, sizes = subwords(list(ids))
     begin = np.cumsum(sizes) - sizes
     apart = np.arange(len(y)) % 5 == 4
@@ -177,15 +196,15 @@ class Scorer(dict):
     def score(self, text: bytes) -> float:
         return next(self.scores([text]))
 
-    def _score(self, text: bytes) -> float:
-        words = text.split()
+    def _score(self, words: list[bytes]) -> float:
         m, _ = worst(once(np.fromiter(map(self.__getitem__, words), np.float64, len(words))))
         return float(1 / (1 + np.exp(-np.clip(self.slope * m + self.offset, -35, 35))))
 
     def scores(self, texts: list[bytes]) -> Iterator[float]:
         for i in range(0, len(texts), 64):
-            self.learn({w for t in texts[i : i + 64] for w in t.split()})
-            yield from map(self._score, texts[i : i + 64])
+            split = [words_of(t) for t in texts[i : i + 64]]
+            self.learn({w for words in split for w in words})
+            yield from map(self._score, split)
 
 
 def _scorer(model) -> object:

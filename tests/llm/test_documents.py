@@ -264,6 +264,33 @@ def test_toxicity_learns_misspellings():
     assert np.mean([s.score(one(True, ("wretchedd", "verrmin"))[0]) for _ in range(40)]) > np.mean([s.score(one(False)[0]) for _ in range(40)]) + 0.2
 
 
+@pytest.mark.parametrize("blank", ["_", "/", ",", "\u00a0", "\u3000"])
+def test_toxicity_of_long_words(blank):
+    r = random.Random(1)
+
+    def one(bad):
+        w = [r.choice(WORDS) for _ in range(120)]
+        if bad:
+            w[r.randrange(40, 120)] = r.choice(("wretched", "vermin"))
+        return w
+
+    joined = [one(k % 2) for k in range(80)]
+    s = toxicity.Scorer(toxicity.fit([(" ".join(one(k % 2)).encode(), k % 2) for k in range(600)]))
+    got = [s.score(blank.join(w).encode()) for w in joined]
+    assert np.mean(got[1::2]) > np.mean(got[::2]) + 0.2
+    m = toxicity.Scorer(toxicity.fit([(blank.join(one(k % 2)).encode(), k % 2) for k in range(600)]))
+    assert np.mean([(m.score(blank.join(w).encode()) >= 0.5) == k % 2 for k, w in enumerate(joined)]) > 0.9
+
+
+def test_pieces_hold_every_ngram():
+    for n in (97, 100, 103, 104, 105, 200, 1001):
+        w = bytes(random.Random(n).choice(b"abcdefgh") for _ in range(n))
+        got = toxicity.words_of(b"short " + w + b" " + b"x" * 96)
+        assert got[0] == b"short" and got[-1] == b"x" * 96
+        assert {w[k : k + 6] for k in range(n - 5)} == {p[k : k + 6] for p in got[1:-1] for k in range(len(p) - 5)}
+    assert toxicity.words_of(b"a  b") == [b"a", b"b"] and toxicity.words_of(b"") == []
+
+
 def test_empty_tables(spark, docs, labels):
     none = docs.limit(0)
     bench = spark.createDataFrame([], "item_id long, text string")
