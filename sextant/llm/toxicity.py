@@ -1,8 +1,9 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word is the mean of the vectors of its hashed character n-grams (and of itself); a window of words is the mean of its
-words; a linear softmax reads that mean. A long text is as toxic as its worst window, so that one insult in a long text is not
-averaged away: training passes the gradient through that window. Unseen misspellings share n-grams with seen words. What stands
+A word is the mean of the vectors of its hashed character n-grams (and of itself); a bag is the mean of its words; a linear
+softmax reads that mean. The bags of a text are its windows of WINDOW words, every word in one at least, and a text is as toxic as its
+worst bag: an insult among hundreds of words would be averaged away in one bag of the whole text. Training starts from whole texts
+(cut at random where they are long, as no window stands out yet) and then passes the gradient through the worst window. Unseen misspellings share n-grams with seen words. What stands
 between blanks and is longer than LONG bytes (CJK, minified text) counts as overlapping pieces, each a word of the windows.
 """
 
@@ -20,11 +21,14 @@ from pyspark.sql import functions as F
 from sextant.llm.common import small_batches, texts
 from sextant.llm.labelled import labelled_sample
 from sextant.llm.quality import platt, with_outcome
+from sextant.llm.shingles import chunks
 
 BITS = 18
 BUCKETS = 1 << BITS
 DIM = 12
 WINDOW, STRIDE = 12, 4
+#: Words that are hashed at once in training.
+SLICE = 20_000
 #: Words that a worker remembers before it forgets them all: bounds its memory.
 CACHE = 400_000
 #: Bytes of the longest word that counts as one; of a piece of a longer one, and from piece to piece.
@@ -71,7 +75,24 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             owners.append(of[keep])
     owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return np.concatenate(buckets)[order].astype(np.int64), np.bincount(owner, minlength=len(bare))
+    return np.concatenate(buckets)[order].astype(np.int32), np.bincount(owner, minlength=len(bare)).astype(np.int32)
+
+
+def indexed(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each text as numbers of its distinct words, and those words' buckets in a row with how many each has.
+
+    Words are hashed SLICE at a time and dropped, so what is held is four bytes a word of a text and four an n-gram of a distinct word.
+    """
+    ids: dict[bytes, int] = {}
+    docs = [once(np.fromiter((ids.setdefault(w, len(ids)) for w in words_of(t)), np.int32)) for t in texts]
+    words = list(ids)
+    del ids
+    parts = []
+    while words:
+        parts.append(subwords(words[-SLICE:]))
+        del words[-SLICE:]
+    parts.reverse()
+    return docs, np.concatenate([b for b, _ in parts] or [np.zeros(0, np.int32)]), np.concatenate([n for _, n in parts] or [np.zeros(0, np.int32)])
 
 
 @dataclass
@@ -119,10 +140,8 @@ def fit(sample: list[tuple[bytes, int]], epochs: int = 14, rate: float = 0.4, se
         model.slope, model.offset = 1e-3, float(np.log(share / (1 - share)))
         return model
     model.softmax[:] = rng.normal(0, 0.3, (2, DIM))
-    ids: dict[bytes, int] = {}
-    docs = [once(np.array([ids.setdefault(w, len(ids)) for w in words_of(t)], np.int64)) for t, _ in sample]
-    flat, sizes = subwords(list(ids))
-    begin = np.cumsum(sizes) - sizes
+    docs, flat, sizes = indexed([t for t, _ in sample])
+    begin = np.cumsum(sizes, dtype=np.int64) - sizes
     apart = np.arange(len(y)) % 5 == 4
     if not (y[apart].any() and (y[apart] == 0).any() and y[~apart].any() and (y[~apart] == 0).any()):
         apart[:] = False
@@ -201,8 +220,8 @@ class Scorer(dict):
         return float(1 / (1 + np.exp(-np.clip(self.slope * m + self.offset, -35, 35))))
 
     def scores(self, texts: list[bytes]) -> Iterator[float]:
-        for i in range(0, len(texts), 64):
-            split = [words_of(t) for t in texts[i : i + 64]]
+        for i, j in chunks([len(t) for t in texts], 1 << 18):
+            split = [words_of(t) for t in texts[i:j]]
             self.learn({w for words in split for w in words})
             yield from map(self._score, split)
 
