@@ -80,23 +80,26 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -
     return (np.log(p / p.sum()) - np.log(q / q.sum())).astype(np.float32)
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, epochs: int = 25, seed: int = 0) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 25, seed: int = 0) -> tuple[np.ndarray, float]:
     """Hinge loss, L2 penalty: one dual variable in [0, cost] per row, minimised in a random order each epoch.
 
+    A row's values are its n-grams' ratios, scaled to length 1; they are looked up at each step, so only indicators are held.
     The bias is one more feature of value 1. Rows that stand at a bound with a gradient that keeps them there change nothing.
     """
     w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
     sign = np.where(y > 0, 1.0, -1.0)
-    square = np.array([float((v * v).sum()) + 1.0 for v in values])
+    scale = np.array([1 / (float(np.sqrt((ratio[x].astype(np.float64) ** 2).sum())) + 1e-9) for x in rows])
+    square = np.array([float((ratio[x].astype(np.float64) ** 2).sum()) for x in rows]) * scale**2 + 1.0
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in rng.permutation(len(rows)):
-            g = sign[i] * (float(w[rows[i]] @ values[i]) + bias) - 1.0
+            values = ratio[rows[i]] * scale[i]
+            g = sign[i] * (float(w[rows[i]] @ values) + bias) - 1.0
             new = min(max(alpha[i] - g / square[i], 0.0), cost[i])
             step = (new - alpha[i]) * sign[i]
             if step:
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * values
                 bias += step
                 alpha[i] = new
                 most = max(most, abs(step))
@@ -132,16 +135,13 @@ def fit(sample: list[tuple[bytes, int]], cost: float = 1.0, blend: float = 0.5,
         return QualityModel(zero, zero, 0.0, 1e-3, float(np.log(share / (1 - share))))
     grams = Ngrams()
     rows = [grams.of(t) for t, _ in sample]
+    del grams
 
     def one(keep: np.ndarray) -> QualityModel:
         ratio = log_count_ratio([rows[i] for i in keep], y[keep])
-        values = []
-        for i in keep:
-            v = ratio[rows[i]].astype(np.float64)
-            values.append(v / (np.sqrt(float(v @ v)) + 1e-9))
         share = float(y[keep].mean())
         each = np.where(y[keep] > 0, 0.5 / share, 0.5 / (1 - share)) * cost * 4
-        w, bias = dual_coordinate_descent([rows[i] for i in keep], values, y[keep], each)
+        w, bias = dual_coordinate_descent([rows[i] for i in keep], ratio, y[keep], each)
         mean = float(np.abs(w).sum() / max(1, np.count_nonzero(w)))
         w = (1 - blend) * mean + blend * w  # between the plain Bayes weights and the support-vector weights
         return QualityModel(ratio, (w * ratio).astype(np.float32), bias, 1.0, 0.0)
