@@ -132,11 +132,21 @@ def test_added_tokens_keep_their_ids(spark, tmp_path):
     assert [list(r.tokens) for r in got] == ids and [r.start for r in got] == [sum(map(len, ids[:i])) for i in range(len(ids))]
 
 
-def brute_components(rows):
+def brute_sets(rows):
     sets = []
     for _, t in rows:
         w = [x for x in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if x]
         sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return sets
+
+
+def brute_links(rows):
+    sets = brute_sets(rows)
+    return Counter((i, sum(b != a and bool(sets[a] & sets[b]) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for b in range(len(rows)))) for a, (i, _) in enumerate(rows))
+
+
+def brute_components(rows):
+    sets = brute_sets(rows)
     root = list(range(len(rows)))
 
     def find(x):
@@ -163,6 +173,27 @@ def test_components(docs, monkeypatch, tile):
     assert got == brute_components(ROWS)
 
 
+@pytest.mark.parametrize("tile", [2048, 4])
+def test_every_link(docs, monkeypatch, tile):
+    monkeypatch.setattr(jaccard_join, "TILE", tile)
+    got = jaccard_join.linked(docs).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == brute_links(ROWS)
+    pairs, members = jaccard_join.links(docs)
+    at = {}
+    for r in members.collect():
+        at.setdefault(r["class"], []).append(r.doc_id)
+    found = {(i, j) for r in pairs.collect() for i in at[r.class_u] for j in at[r.class_v]}
+    assert len(found) and all(u != v for u, v in found)
+
+
+def test_copies_without_ids(spark):
+    """A class of rows without ids connects others."""
+    base = text(5, 100).split(" ")
+    rows = [(1, " ".join(base)), (None, " ".join([*base[:-5], *"v w x y z".split()])), (2, " ".join([*base[:-5], *"v w x y z".split(), *"a b c d e f g h i j k l m n o p q r".split()]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.cluster(docs).collect()) == brute_components(rows)
+
+
 def test_one_of_each_component_stays(docs):
     kept = jaccard_join.keep_first(docs)
     assert kept.columns == docs.columns
@@ -171,6 +202,14 @@ def test_one_of_each_component_stays(docs):
     assert sorted(i for i in got if i is not None) == sorted(want) and got.count(None) == 2
 
 
+def test_different_texts_of_one_id_stay(spark):
+    rows = [(1, TEXTS[0]), (1, TEXTS[1]), (2, TEXTS[0]), (1, TEXTS[0]), (3, ""), (3, None), (3, " "), (4, TEXTS[1]), (5, TEXTS[2])]
+    docs = spark.createDataFrame([(*r, 1, 2, True) for r in rows], "doc_id long, text string, bucket int, text_hash int, concerned boolean")
+    got = Counter((r.doc_id, r.text or "") for r in jaccard_join.keep_first(docs).collect())
+    assert got == Counter([(1, TEXTS[0]), (1, TEXTS[1]), (3, ""), (3, " "), (5, TEXTS[2])])
+    assert jaccard_join.keep_first(docs.limit(0)).count() == 0
+
+
 def test_tree_bound_loses_nothing():
     r = np.random.default_rng(3)
     pool = r.integers(0, 1 << 62, 5000).astype(np.uint64)
@@ -184,7 +223,7 @@ def test_tree_bound_loses_nothing():
         near_ones = set(tree.query(i).tolist())
         for j in range(i + 1, len(sets)):
             a, b = sets[tree.order[i]], sets[tree.order[j]]
-            if jaccard_join.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+            if jaccard_join.is_link(len(np.intersect1d(a, b)), len(a), len(b)):
                 assert j in near_ones
 
 
