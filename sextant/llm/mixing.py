@@ -1,7 +1,7 @@
 """Mixing sources to target weights: hierarchical budgets over a domain - language - source tree.
 
-A node's budget goes to its children by their weights. A child takes no more than its subtree can give (its tokens times the most
-epochs); what it leaves goes to its siblings by weight, and only when all of them are full has the node itself been given less, so
+A node's budget goes to its children by their weights. A child takes no more than its subtree can give (the tokens, times the most
+epochs, of those of its leaves that have a weight all the way down); what it leaves goes to its siblings by weight, and only when all of them are full has the node itself been given less, so
 that the shortage is the ancestors' to pass on. A leaf takes whole epochs and then a prefix, by tokens, of one more epoch; an
 epoch's order is the hash of seed, epoch and doc_id.
 
@@ -50,6 +50,14 @@ def _weight(plan: Plan, level: str) -> Column:
     return out
 
 
+def _reachable(plan: Plan) -> Column:
+    """Whether no level of a leaf's path has weight 0: below such a node nothing can be given, so it is in no ancestor's cap."""
+    out = F.lit(True)
+    for level in LEVELS:
+        out = out & (_weight(plan, level) > 0)
+    return out
+
+
 def _fill(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
     """Budget of each child from ``given``, its parent's: full children are those that are full before the level of water is reached."""
     order = Window.partitionBy(*parent).orderBy("ratio", level)
@@ -67,7 +75,7 @@ def _fill(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
 def budgets(counted: DataFrame, plan: Plan) -> DataFrame:
     """(domain, lang, source, avail, budget) of each leaf of a table with ``n_tokens``. One row a leaf: small beside the documents."""
     leaves = counted.groupBy(*LEVELS).agg(F.sum("n_tokens").cast("double").alias("avail"))
-    leaves = leaves.withColumn("cap", F.col("avail") * float(plan.epochs))
+    leaves = leaves.withColumn("cap", F.when(_reachable(plan), F.col("avail") * float(plan.epochs)).otherwise(0.0))
     above = leaves.agg((F.sum("avail") * plan.share).alias("given")).withColumn("all", F.lit(0))
     keys: list[str] = ["all"]
     out = None
@@ -113,7 +121,7 @@ def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
     Tokens are words between ASCII white space; null texts and texts without words have none and go with their place in the order.
     Null names are empty; rows of one doc_id in a leaf share their place and go together; other columns are ignored; an empty table
-    gives no rows.
+    gives no rows. Very long texts are counted whole; a weight of 0 takes a node's budget to its siblings, or else to the ancestors'.
     """
     ends, counted = cutoffs(docs, plan)
     return epochs_of(counted, written(ends), plan).select("doc_id", *LEVELS, "epoch", "n_tokens")
@@ -140,7 +148,8 @@ def sql(plan: Plan = Plan()) -> str:
     steps = [
         """d AS (SELECT doc_id, substr(coalesce(source, ''), 1, 4) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
             len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens FROM documents)""",
-        f"leaf AS (SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS avail, sum(n_tokens)::DOUBLE * {plan.epochs} AS cap FROM d GROUP BY ALL)",
+        f"""leaf AS (SELECT domain, lang, source, sum(n_tokens)::DOUBLE AS avail,
+            CASE WHEN {" AND ".join(f"{_sql_weight(plan, level)} > 0" for level in LEVELS)} THEN sum(n_tokens)::DOUBLE * {plan.epochs} ELSE 0.0 END AS cap FROM d GROUP BY domain, lang, source)""",
         f"b0 AS (SELECT sum(avail) * {plan.share} AS given FROM leaf)",
     ]
     for i, level in enumerate(LEVELS):
@@ -149,10 +158,10 @@ def sql(plan: Plan = Plan()) -> str:
         using = f"JOIN b{i} USING ({', '.join(LEVELS[:i])})" if i else "CROSS JOIN b0"
         steps += [
             f"n{i} AS (SELECT {path}, sum(cap) AS cap, {_sql_weight(plan, level)} AS w FROM leaf GROUP BY {path})",
-            f"g{i} AS (SELECT n{i}.*, given FROM n{i} {using})",
-            f"s{i} AS (SELECT x.*, (SELECT sum(least(y.cap, x.cap / x.w * y.w)) FROM g{i} y WHERE {same}) <= x.given + 1e-6 AS is_full FROM g{i} x)",
+            f"g{i} AS (SELECT n{i}.*, CASE WHEN w > 0 THEN cap / w END AS unit, given FROM n{i} {using})",
+            f"s{i} AS (SELECT x.*, x.w > 0 AND (SELECT sum(least(y.cap, x.unit * y.w)) FROM g{i} y WHERE {same}) <= x.given + 1e-6 AS is_full FROM g{i} x)",
             f"""b{i + 1} AS (SELECT {path}, CASE WHEN is_full THEN cap ELSE greatest(0.0, (given - (SELECT coalesce(sum(y.cap), 0) FROM s{i} y WHERE {same} AND y.is_full))
-                / (SELECT sum(y.w) FROM s{i} y WHERE {same} AND NOT y.is_full) * w) END AS given FROM s{i} x)""",
+                / (SELECT CASE WHEN sum(y.w) > 0 THEN sum(y.w) END FROM s{i} y WHERE {same} AND NOT y.is_full) * w) END AS given FROM s{i} x)""",
         ]
     steps += [
         "l AS (SELECT *, (CASE WHEN avail > 0 THEN floor(given / avail + 1e-9) ELSE 0 END)::INT AS whole FROM leaf JOIN b3 USING (domain, lang, source))",
