@@ -1,15 +1,16 @@
 """Benchmark decontamination: an inverted index of test items, queried by every passage with block-max WAND.
 
-Test items are cut into segments of at most SEGMENT words and indexed by BM25 impact, scaled so that a segment scores 1 against
-itself; every posting list is in blocks that know their largest impact. Each text is cut into overlapping passages that hold any
+Test items are cut into segments of at most SEGMENT words (the last one flush with the end, so every word is in one) and indexed by BM25
+impact, scaled so that a segment scores 1 against itself; every posting list is in blocks that know their largest impact. A large test
+set is searched shard by shard, with the statistics of the whole set. Each text is cut into overlapping passages that hold any
 segment whole, and every passage is a query that retrieves all segments scoring THRESHOLD or more (no top k). A retrieved item
-is verified on the whole text: enough of the word 5-grams of its first half (the question) and of its second (the answer) must
-stand in it.
+is verified: enough of the word n-grams of its first half (the question) and of its second (the answer) must stand in the text. n is 5,
+or less for short halves, so that one changed word never fails one; grams under 5 words must stand in the very passage.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +31,15 @@ NGRAM = 5
 BLOCK = 16
 #: What the most frequent terms of a segment may add up to and still be left out of the first bound.
 SPARE = 0.25
-#: Segments of one broadcast index; a larger test set is searched in several passes over the documents.
+#: Items of one broadcast index; a larger test set is searched in several passes over the documents.
 SHARD = 20_000
 
 
+def gram_length(words: int) -> int:
+    """Of a half of so many words: one changed word spoils n of its words - n + 1 grams, which shall be half of them at most."""
+    return max(1, min(NGRAM, (words + 1) // 3))
+
+
 def ngrams(hashed: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n words."""
     out = np.full(max(0, len(hashed) - n + 1), n, np.uint64)
@@ -50,8 +56,9 @@ class Index:
     impact: np.ndarray
     block: np.ndarray  # largest impact of the posting's block of BLOCK postings
     most: np.ndarray  # largest impact of each term
-    item: np.ndarray  # of each segment
-    halves: dict[int, list[tuple[int, np.ndarray]]]  # item -> (n, distinct n-grams) of question and answer
+    item: np.ndarray  # of each segment: the item's place in ``ids``
+    ids: list[int]
+    halves: list[list[tuple[int, np.ndarray]]]  # of each item: (n, distinct n-grams) of question and answer
     telling: tuple[np.ndarray, np.ndarray, np.ndarray]  # postings without each segment's most frequent terms: begin, segment, impact
     need: np.ndarray  # of each segment: what a passage must have in ``telling`` to reach THRESHOLD
 
@@ -102,34 +109,61 @@ class Index:
                     c[0] += int(np.searchsorted(seg[c[0] : c[1]], goal))
 
 
-def build(items: list[tuple[int, bytes]]) -> Index:
-    """Index of (item_id, text); statistics are over all segments given."""
-    segments, owner, halves = [], [], {}
+def segments_of(hashed: np.ndarray) -> list[np.ndarray]:
+    """Words of each segment of an item: every SEGMENT words, the last segment flush with the end."""
+    return [hashed[i : i + SEGMENT] for i in sorted({*range(0, max(1, len(hashed) - SEGMENT + 1), SEGMENT), max(0, len(hashed) - SEGMENT)})] if len(hashed) else []
+
+
+@dataclass
+class Statistics:
+    """Of the segments of a whole test set: how many, their mean length, and in how many each term is."""
+
+    segments: int
+    mean: float
+    terms: np.ndarray
+    df: np.ndarray
+
+
+def statistics(shards: Iterable[list[tuple[int, bytes]]]) -> Statistics:
+    """One pass; what is held is a shard and the distinct terms."""
+    n, total, terms, df = 0, 0, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for items in shards:
+        own = [np.unique(x) for _, t in items for x in segments_of(word_hashes([t])[0])]
+        n += len(own)
+        total += sum(len(x) for _, t in items for x in segments_of(word_hashes([t])[0]))
+        words, place = np.unique(np.concatenate([terms, *own]), return_inverse=True)
+        df = np.bincount(place, np.concatenate([df, np.ones(len(place) - len(df))]), len(words)).astype(np.int64)
+        terms = words
+    return Statistics(n, total / n if n else 1.0, terms, df)
+
+
+def build(items: list[tuple[int, bytes]], of: Statistics | None = None) -> Index:
+    """Index of (item_id, text) rows; each row is an item of its own. ``of``: statistics of the whole set that these are a part of."""
+    of = of or statistics([items])
+    segments, owner, ids, halves = [], [], [], []
     for item, text in items:
         hashed, _ = word_hashes([text])
         if not len(hashed):
             continue
         middle = -(-len(hashed) // 2)
         parts = (hashed[:middle], hashed[middle:]) if len(hashed) >= 2 * NGRAM else (hashed,)  # a short item must stand there whole
-        halves[item] = [(n := NGRAM if len(parts) == 2 else len(h), np.unique(ngrams(h, n))) for h in parts]
-        for i in range(0, len(hashed), SEGMENT):
-            part = hashed[i : i + SEGMENT]
-            if i and len(part) < SEGMENT // 2:  # a short rest is found with the segment before it
-                continue
+        halves.append([(n := gram_length(len(h)) if len(parts) == 2 else len(h), np.unique(ngrams(h, n))) for h in parts])
+        for part in segments_of(hashed):
             segments.append(np.unique(part, return_counts=True))
-            owner.append(item)
+            owner.append(len(ids))
+        ids.append(item)
     length = np.array([c.sum() for _, c in segments], float)
-    mean = float(length.mean()) if len(length) else 1.0
     words = np.concatenate([w for w, _ in segments]) if segments else np.zeros(0, np.uint64)
     tf = np.concatenate([c for _, c in segments]).astype(float) if segments else np.zeros(0)
     seg = np.repeat(np.arange(len(segments)), [len(w) for w, _ in segments]).astype(np.int32)
-    terms, place, df = np.unique(words, return_inverse=True, return_counts=True)
-    idf = np.log(1 + (len(segments) - df + 0.5) / (df + 0.5))
-    impact = idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[seg] / mean))
+    terms, place, own_df = np.unique(words, return_inverse=True, return_counts=True)
+    df = of.df[np.searchsorted(of.terms, terms)]
+    idf = np.log(1 + (of.segments - df + 0.5) / (df + 0.5))
+    impact = idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[seg] / of.mean))
     impact /= np.bincount(seg, impact, len(segments))[seg] if len(seg) else 1
     order = np.lexsort((seg, place))
     seg, impact, place = seg[order], impact[order], place[order]
-    begin = np.concatenate([[0], np.cumsum(df)])
+    begin = np.concatenate([[0], np.cumsum(own_df)])
     # Each segment's terms, most frequent first, as long as their impacts add up to SPARE at most.
     often = np.lexsort((place, -df[place], seg))
     sums = np.cumsum(impact[often])
@@ -139,7 +173,7 @@ def build(items: list[tuple[int, bytes]]) -> Index:
     need = THRESHOLD - 1e-9 - np.bincount(seg[spare], impact[spare], len(segments))
     telling = (np.concatenate([[0], np.cumsum(np.bincount(place[~spare], minlength=len(terms)))]), seg[~spare], impact[~spare])
     most = np.maximum.reduceat(impact, begin[:-1]) if len(terms) else impact
-    return Index(terms, begin, seg, impact, _block_max(impact, begin), most, np.array(owner, np.int64), halves, telling, need)
+    return Index(terms, begin, seg, impact, _block_max(impact, begin), most, np.array(owner, np.int64), ids, halves, telling, need)
 
 
 def _block_max(impact: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -152,7 +186,7 @@ def _block_max(impact: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def matches(index: Index, data: list[bytes]) -> Iterator[tuple[int, int, float, float, float]]:
-    """(place of the text, item, best score, question overlap, answer overlap) of every contaminated pair."""
+    """(place of the text, item_id, best score, question overlap, answer overlap) of every contaminated pair."""
     if not len(index.terms):
         return
     hashed, counts = word_hashes(data)
@@ -179,6 +213,7 @@ def matches(index: Index, data: list[bytes]) -> Iterator[tuple[int, int, float,
     texts_of = np.searchsorted(first_stride, np.stack([earlier, earlier + 1]), side="right")
     hopeful = np.union1d(keys[both >= enough] // n_segments, earlier[(texts_of[0] == texts_of[1]) & (earlier >= 0)])
     best: dict[tuple[int, int], float] = {}
+    short: dict[tuple[int, int], list[tuple[int, int]]] = {}  # passages of items whose grams are short
     for k in hopeful.tolist():
         t = int(np.searchsorted(first_stride, k, side="right")) - 1
         a = begin[t] + (k - first_stride[t]) * STRIDE
@@ -186,15 +221,22 @@ def matches(index: Index, data: list[bytes]) -> Iterator[tuple[int, int, float,
         for seg, score in index.search(np.unique(place[a:b][known[a:b]])):
             key = (t, int(index.item[seg]))
             best[key] = max(best.get(key, 0.0), score)
-    grams: dict[tuple[int, int], np.ndarray] = {}
-    for (t, item), score in sorted(best.items()):
-        shares = []
+            if min(n for n, _ in index.halves[key[1]]) < NGRAM:
+                short.setdefault(key, []).append((int(a), int(b)))
+    grams: dict[tuple[int, int, int], np.ndarray] = {}
+
+    def shares(a: int, b: int, item: int) -> list[float]:
+        out = []
         for n, own in index.halves[item]:
-            if (t, n) not in grams:
-                grams[t, n] = np.unique(ngrams(hashed[begin[t] : begin[t + 1]], n))
-            shares.append(float(np.isin(own, grams[t, n]).mean()))
-        if min(shares) >= OVERLAP:
-            yield t, item, score, shares[0], shares[-1]
+            if (a, b, n) not in grams:
+                grams[a, b, n] = np.unique(ngrams(hashed[a:b], n))
+            out.append(float(np.isin(own, grams[a, b, n]).mean()))
+        return out
+
+    for (t, item), score in sorted(best.items()):
+        found = max((shares(a, b, item) for a, b in short.get((t, item), [(int(begin[t]), int(begin[t + 1]))])), key=min)
+        if min(found) >= OVERLAP:
+            yield t, index.ids[item], score, found[0], found[-1]
 
 
 COLUMNS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
@@ -212,28 +254,37 @@ def _searcher(index) -> object:
     return run
 
 
-def indexes(benchmark: DataFrame) -> list[Index]:
-    """One index for each SHARD items, in ascending item_id; items without an id or words are skipped."""
+def _shards(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+    """The items in ascending item_id, SHARD at a time; those without an id or words are skipped."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("binary")).orderBy("item_id", "text")
-    out, held = [], []
+    held = []
     for r in rows.toLocalIterator():
         held.append((r[0], bytes(r[1])))
         if len(held) == SHARD:
-            out.append(build(held))
+            yield held
             held = []
-    return out + ([build(held)] if held or not out else [])
+    if held:
+        yield held
+
+
+def broadcasts(benchmark: DataFrame) -> list:
+    """An index for each SHARD items, broadcast. The driver holds one shard at a time, and the terms' counts."""
+    context = benchmark.sparkSession.sparkContext
+    whole = statistics(_shards(benchmark))
+    return [context.broadcast(build(items, whole)) for items in _shards(benchmark)] or [context.broadcast(build([]))]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: every pair of a document and a test item that stands in it.
 
     Null or empty texts give no pair; rows of one doc_id each give theirs; documents without an id are searched and have a null
-    doc_id; other columns are ignored; an empty table on either side gives no rows.
+    doc_id; test rows that share an id are items of their own; repeated test rows repeat their pairs; very long texts are searched whole,
+    passage by passage; other columns are ignored; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     source = texts(docs).select("doc_id", F.col("text").cast("binary").alias("t"))
-    parts = [source.mapInArrow(_searcher(spark.sparkContext.broadcast(i)), COLUMNS) for i in indexes(benchmark)]
+    parts = [source.mapInArrow(_searcher(held), COLUMNS) for held in broadcasts(benchmark)]
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)
@@ -241,11 +292,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (its own columns) in whose text no test item stands. The test is a column, so no row moves."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    for index in indexes(benchmark):
-        held = spark.sparkContext.broadcast(index)
+    """The rows of ``docs`` (its own columns) in whose text no test item stands. The test is a column, so no row moves.
+
+    Rows with null or empty texts and without a doc_id are kept or dropped by their text alone; repeated rows all stay or all go; an
+    empty test set keeps everything.
+    """
+    small_batches(docs.sparkSession)
+    for held in broadcasts(benchmark):
 
         def clean(t, held=held):
             import pandas as pd
