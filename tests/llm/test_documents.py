@@ -54,42 +54,6 @@ def in_order():
     return sorted(ROWS, key=key)
 
 
-def test_next_and_edit(docs):
-    rows = in_order()
-    want = []
-    for k, (i, t) in enumerate(rows):
-        t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
-        h = len(t) // 2
-        edited = t[: len(t) - h] + after[:h]
-        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), t == edited, t == after))
-    got = merkle.compare_with_edit(docs).collect()
-    key = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
-    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
-        assert (a.doc_id, a.n_chars, a.edited_sha256) == b[:3]
-        assert (a.fingerprint == a.edited_fingerprint) == b[3] == (a.near_edited == 1.0)
-        assert (a.near_next == 1.0) == b[4] and 0 <= a.near_edited <= 1 and 0 <= a.near_next <= 1
-        assert (a.first_edited_paragraph is None) == b[3]
-    prints = {}
-    for r, (_, t) in zip(sorted(got, key=key), sorted(((i, t or "") for i, t in ROWS), key=lambda x: (x[0] is not None, x[0] or 0, len(x[1]))), strict=True):
-        prints.setdefault(r.fingerprint, set()).add(t)
-    assert all(len(x) == 1 for x in prints.values()) and len(prints) == len({t or "" for _, t in ROWS})
-
-
-def test_likeness_follows_edits(spark):
-    base = text(1, 400)
-    rows = [(0, base), (1, near(base, 2, 0.01)), (2, text(2, 400)), (3, base + " more")]
-    got = {r.doc_id: r for r in merkle.compare_with_edit(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0].near_next > 0.85 > 0.2 > got[1].near_next and 0.2 < got[2].near_edited < 0.8
-
-
-def test_ranges_of_ids(spark, monkeypatch):
-    monkeypatch.setattr(merkle, "RANGE_IDS", 3)
-    rows = [(i * i - 40, f"t{i}") for i in range(30)] + [(10**12, "far"), (-(10**12), "low")]
-    got = {r.text: r.next_text for r in merkle.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    order = [t for _, t in sorted(rows)]
-    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
-
-
 def test_token_files(docs, tmp_path):
     from tokenizers import Tokenizer
 
