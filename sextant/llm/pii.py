@@ -1,15 +1,18 @@
 """Personal data: gradient boosting over candidates, in DataFrame functions only.
 
-Generators of high recall propose spans that may overlap: whatever looks like an address with @ or its spelled-out form, and
-runs of seven or more digits. Boosted trees read each candidate's format and context, not the checks by which the base patterns
-decide (Luhn, the leading plus, the range of a part); they learn from all candidates of the table which of them the base patterns
-confirm, so that the same format without the mark is found too. Features are small codes, so the counts of (features, outcome)
-are a table of bounded size; trees grow on that table and become one SQL expression.
+Generators of high recall propose spans that may overlap: whatever looks like an address with @ or its spelled-out form, runs of seven
+or more digits, and within these what is shaped like a card or a phone number. Boosted trees read each candidate's format and context.
+They learn from what the base patterns say of a candidate that stands alone, and from the same candidates with the deciding mark hidden
+(an address spelled out, a phone number without its plus and country code), so that unmarked data is found too. Unmarked numbers that
+no other format explains are neither right nor wrong in training. Trees grow on four fifths of the documents; each kind's threshold is
+set on the others. Features are small codes, so the counts of (features, outcome) are a table of bounded size, and the trees become
+one SQL expression.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,29 +27,59 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"  # shorter runs fail in any case
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: The generators.
-WIDE_MAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:\x20?@\x20?|\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\x20?\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++"
+WIDE_MAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++(?:\x20?@\x20?|\x20?[\[(]at[\])]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\.|\x20?[\[(]dot[\])]\x20?|\x20dot\x20)[A-Za-z0-9-]++)++"
 WIDE_NUMBER = r"[+(]?[0-9](?:[\x20().\-/]{0,2}+[0-9]){6,}+"
+CARD_SHAPE = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4}[\x20-][0-9]{4})(?![0-9])"
+PHONE_SHAPE = r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])"
 
 #: Codes a feature can take; their product bounds the table that trees grow on.
-FEATURES = {"gen": 2, "digits": 8, "groups": 5, "sep": 6, "context": 5, "after": 3}
+FEATURES = {"gen": 4, "digits": 8, "groups": 5, "sep": 6, "mark": 2, "check": 2, "context": 5, "after": 3}
+#: A document in so many sets thresholds and is not learned from.
+HELD = 5
 
-SPAN = "array<struct<start:int,end:int,hit:string>>"
+SPAN = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
+#: Elements that are worked on at once where a plain loop over an array would be quadratic.
+RUN = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(values: Column) -> Column:
+    """Running sums of an array of numbers: within runs, and then with what stands before each run."""
+    none = F.array().cast("array<int>")
+    add = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
+
+    def whole(v: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / RUN).cast("int")), lambda k: F.aggregate(F.slice(v, k * RUN + 1, F.lit(RUN)), none, add))
+        return F.when(F.size(v) == 0, none).otherwise(let(runs, joined))
+
+    def joined(runs: Column) -> Column:
+        before = F.aggregate(F.transform(runs, lambda r: F.element_at(r, -1)), F.array(F.lit(0)), add)
+        return let(before, lambda b: F.flatten(F.transform(runs, lambda r, i: F.transform(r, lambda x: x + F.get(b, i)))))
+
+    return let(values, whole)
 
 
 def found(text: Column, pattern: str) -> Column:
-    """All leftmost matches as (start, end, hit), in code points, end exclusive: what a split leaves gives the places."""
-    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    zipped = F.arrays_zip(hits.alias("hit"), F.slice(gaps, F.lit(1), F.size(hits)).alias("gap"))
-    none = F.array().cast(SPAN)
-    return F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["gap"])).alias("start"), (a["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"), x["hit"].alias("hit")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    """All leftmost matches as (start, end, hit, up to 24 characters before, one after), in code points, end exclusive: what a split
+    leaves gives the places."""
+
+    def placed(z: Column) -> Column:
+        ends = running(F.transform(z["hits"], lambda h, i: F.length(F.get(z["gaps"], i)) + F.length(h)))
+        return let(
+            ends,
+            lambda e: F.transform(
+                z["hits"],
+                lambda h, i: F.struct(
+                    (F.get(e, i) - F.length(h)).alias("start"), F.get(e, i).alias("end"), h.alias("hit"), F.substring(F.get(z["gaps"], i), -24, 24).alias("before"), F.substring(F.get(z["gaps"], i + 1), 1, 1).alias("after")
+                ),
+            ),
+        )
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps")), placed)
 
 
 def digits(s: Column) -> Column:
@@ -69,40 +102,81 @@ def _if(cond: Column, spans: Column) -> Column:
     return F.when(cond, spans).otherwise(F.array().cast(SPAN))
 
 
+def in_range(h: Column) -> Column:
+    """Of dotted numbers: whether each is at most 255."""
+    return F.forall(F.split(h, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.substring(p, -3, 3).try_cast("int"), F.lit(0)) <= 255))
+
+
 def base_spans(text: Column) -> dict[str, Column]:
     """kind -> spans of the base patterns whose checks pass."""
     numeric = text.rlike("[0-9]")
-    small = lambda h: F.forall(F.split(h, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.substring(p, -3, 3).cast("int"), F.lit(0)) <= 255))
     return {
         "email": _if(text.contains("@"), found(text, EMAIL)),
-        "ip": F.filter(_if(numeric & text.contains("."), found(text, IP)), lambda x: small(x["hit"])),
-        "card": F.filter(_if(numeric, found(text, CARD)), lambda x: (F.length(digits(x["hit"])).between(13, 19)) & luhn(digits(x["hit"]))),
+        "ip": F.filter(_if(numeric & text.contains("."), found(text, IP)), lambda x: in_range(x["hit"])),
+        "card": F.filter(_if(numeric, found(text, CARD)), lambda x: let(digits(x["hit"]), lambda d: F.length(d).between(13, 19) & luhn(d))),
         "phone": F.filter(_if(numeric & text.contains("+"), found(text, PHONE)), lambda x: F.length(digits(x["hit"])).between(9, 15)),
     }
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start,end,kind, and a code of each feature>> of what the generators propose."""
-
-    def described(gen: int, x: Column) -> Column:
-        hit, n = x["hit"], F.length(digits(x["hit"]))
-        before = F.lower(F.substring(text, F.greatest(x["start"] - 19, F.lit(1)), F.least(x["start"], F.lit(20))))
-        after = F.substring(text, x["end"] + 1, F.lit(1))
-        groups = F.size(F.split(F.regexp_replace(hit, "^[^0-9]+", ""), "[^0-9]+"))
-        kind = F.lit("email") if not gen else F.when((groups == 4) & ~hit.rlike("[^0-9.]"), "ip").when(n >= 13, "card").otherwise("phone")
-        bucket = F.when(n <= 2, 0).when(n <= 6, 1).when(n <= 8, 2).when(n == 9, 3).when(n <= 11, 4).when(n == 12, 5).when(n <= 19, 6).otherwise(7)
-        if gen:
-            sep = F.when(hit.contains("("), 1).when(hit.contains("/"), 5).when(hit.contains("."), 2).when(hit.contains("-"), 3).when(hit.contains(" "), 4).otherwise(0)
+def _digits_code(n: Column) -> Column:
+    return F.when(n <= 2, 0).when(n <= 6, 1).when(n <= 8, 2).when(n == 9, 3).when(n <= 11, 4).when(n == 12, 5).when(n <= 19, 6).otherwise(7)
+
+
+def _described(gen: int, x: Column) -> Column:
+    """A candidate: start, end, kind, the code of each feature, ``right`` (what training takes it for: 1, 0 or null) and ``first``, the
+    digits of its first group."""
+    mail = gen == 0
+
+    def of(z: Column) -> Column:
+        hit, n, before = x["hit"], z["n"], z["before"]
+        kind = F.lit("email") if mail else F.lit("card") if gen == 2 else F.lit("phone") if gen == 3 else F.when((z["groups"] == 4) & ~hit.rlike("[^0-9.]"), "ip").when(n >= 13, "card").otherwise("phone")
+        if mail:
+            spelled = hit.contains(" at ")
+            sep = F.when(hit.rlike(r"[\[(]at"), 1).when(spelled & hit.contains(" dot "), 2).when(spelled, 3).when(hit.contains(" "), 4).otherwise(0)
+            mark, check = F.lit(0), F.lit(0)
+            right = F.when(sep == 3, 0).when(hit.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$"), 1)
         else:
-            sep = F.when(hit.rlike(r"[\[(]"), 1).when(hit.contains(" "), 4).otherwise(0)
+            sep = F.when(hit.contains("("), 1).when(hit.contains("/"), 5).when(hit.contains("."), 2).when(hit.contains("-"), 3).when(hit.contains(" "), 4).otherwise(0)
+            mark = F.substring(hit, 1, 1) == "+"
+            check = F.when(kind == "card", let(digits(hit), lambda d: F.length(d).between(13, 19) & luhn(d))).when(kind == "ip", in_range(hit)).otherwise(False)
+            explained = n.between(9, 15) & ~hit.rlike(r"^[0-9.]+$|^[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}")
+            phone = F.when(mark, (n.between(9, 15) & hit.rlike(r"^\+[0-9][\x20().0-9-]+[0-9]$")).cast("int")).when(~explained, 0)
+            right = F.when(kind == "phone", phone).when(kind == "card", (check & hit.rlike(r"^[0-9]([\x20-]?[0-9])+$")).cast("int")).otherwise(check.cast("int"))
         context = F.when(before.rlike("phone|tel|call|mobil|fax"), 1).when(before.rlike("mail|contact|write"), 2).when(before.rlike("card|visa|account|pay"), 3).when(before.rlike("addr|host|server|ip"), 4).otherwise(0)
-        tail = F.when(after == "", 0).when(after.rlike("[A-Za-z0-9_]"), 1).otherwise(2)
-        codes = {"gen": F.lit(gen), "digits": bucket, "groups": F.least(groups, F.lit(5)) - 1, "sep": sep, "context": context, "after": tail}
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), *[codes[f].cast("int").alias(f) for f in FEATURES])
+        tail = F.when(x["after"] == "", 0).when(x["after"].rlike("[A-Za-z0-9_]"), 1).otherwise(2)
+        codes = {"gen": F.lit(gen), "digits": _digits_code(n), "groups": F.least(z["groups"], F.lit(5)) - 1, "sep": sep, "mark": mark, "check": check, "context": context, "after": tail}
+        return F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), kind.alias("kind"), *[codes[f].cast("int").alias(f) for f in FEATURES], right.cast("int").alias("right"), n.alias("n"), F.length(z["first"]).alias("first")
+        )
+
+    bare = F.regexp_replace(x["hit"], "^[^0-9]+", "")
+    facts = {"n": F.length(digits(x["hit"])), "groups": F.size(F.split(bare, "[^0-9]+")), "first": F.regexp_extract(bare, "^[0-9]*", 0), "before": F.lower(x["before"])}
+    return let(F.struct(*[v.alias(k) for k, v in facts.items()]), of)
+
 
-    mail = _if(text.contains("@") | text.rlike(r"[\[( ]dot[\]) ]"), found(text, WIDE_MAIL))
-    number = _if(text.rlike("[0-9]"), found(text, WIDE_NUMBER))
-    return F.concat(F.transform(mail, lambda x: described(0, x)), F.transform(number, lambda x: described(1, x)))
+def _describe(gen: int) -> Callable[[Column], Column]:
+    return lambda x: _described(gen, x)
+
+
+def candidates(text: Column) -> Column:
+    """What the generators propose, in one array."""
+    number = text.rlike("[0-9]")
+    proposed = [_if(text.contains("@") | text.rlike(r"[\[( ]dot[\]) ]"), found(text, WIDE_MAIL)), _if(number, found(text, WIDE_NUMBER)), _if(number, found(text, CARD_SHAPE)), _if(number, found(text, PHONE_SHAPE))]
+    return F.concat(*[F.transform(p, _describe(g)) for g, p in enumerate(proposed)])
+
+
+def hidden(c: Column) -> Column:
+    """The rows that a candidate gives to training: itself, and where it is right, what it would be with its mark hidden."""
+
+    def like(**codes: Column | int) -> Column:
+        return F.struct(c["kind"].alias("kind"), *[(F.lit(codes[f]) if isinstance(codes.get(f), int) else codes.get(f, c[f])).cast("int").alias(f) for f in FEATURES], c["right"].alias("right"))
+
+    phone = like(mark=0, digits=_digits_code(c["n"] - c["first"]), groups=c["groups"] - 1)
+    return (
+        F.when((c["kind"] == "email") & (c["right"] == 1), F.array(like(), like(sep=1), like(sep=2), like(sep=4)))
+        .when((c["kind"] == "phone") & (c["right"] == 1) & (c["groups"] >= 2), F.array(like(), phone))
+        .otherwise(F.array(like()))
+    )
 
 
 @dataclass
@@ -138,7 +212,7 @@ class Boosted:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
 
-Row = tuple[dict[str, int], str, float, float]  # codes, kind, count, confirmed
+Row = tuple[dict[str, int], str, float, float]  # codes, kind, count, how many of these are right
 
 
 def grow(rows: list[Row], grad: list[float], hess: list[float], depth: int, rate: float) -> Split:
@@ -161,9 +235,9 @@ def grow(rows: list[Row], grad: list[float], hess: list[float], depth: int, rate
     return Split(f, at, *parts)
 
 
-def boost(rows: list[Row], trees: int = 12, depth: int = 2, rate: float = 0.5, precision: float = 0.95) -> Boosted:
-    """Newton boosting of the logistic loss on counted rows. A kind's threshold is the least score from which on the share of
-    confirmed candidates is ``precision``; none of a kind is selected where no score gives that."""
+def boost(rows: list[Row], held: list[Row] | None = None, trees: int = 24, depth: int = 3, rate: float = 0.5, precision: float = 0.95) -> Boosted:
+    """Newton boosting of the logistic loss on counted rows. A kind's threshold is the least score from which on ``precision`` of the
+    rows of ``held`` (without these, of the learned rows) are right; none of a kind is selected where no score gives that."""
     n, p = sum(r[2] for r in rows), sum(r[3] for r in rows)
     model = Boosted(math.log((p + 1) / (n - p + 1)), [], {})
     score = [model.prior] * len(rows)
@@ -175,65 +249,94 @@ def boost(rows: list[Row], trees: int = 12, depth: int = 2, rate: float = 0.5, p
         model.trees.append(tree)
         score = [s + tree.of(r[0]) for s, r in zip(score, rows, strict=True)]
     for kind in KINDS:
-        own = sorted(((model.of(r[0]), r[2], r[3]) for r in rows if r[1] == kind), reverse=True)
-        count = right = 0.0
-        model.thresholds[kind] = 2.0
-        for i, (s, c, k) in enumerate(own):
-            count, right = count + c, right + k
-            if (i + 1 == len(own) or own[i + 1][0] < s) and right >= precision * count and right > 0:
-                model.thresholds[kind] = s - 1e-9
+        judged = [r for r in held or [] if r[1] == kind] or [r for r in rows if r[1] == kind]
+        model.thresholds[kind] = threshold([(model.of(r[0]), r[2], r[3]) for r in judged], precision)
     return model
 
 
-def overlaps(x: Column, spans: Column) -> Column:
-    return F.exists(spans, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+def threshold(scored: list[tuple[float, float, float]], precision: float) -> float:
+    """Of (score, count, right): the least score at and above which the share of right ones is ``precision``; 2 where none is. It is
+    set halfway to the next lower score, but not below one half."""
+    own = sorted(scored, reverse=True)
+    count = right = 0.0
+    best = 2.0
+    for i, (s, c, k) in enumerate(own):
+        count, right = count + c, right + k
+        if (i + 1 == len(own) or own[i + 1][0] < s) and right >= precision * count and right > 0:
+            best = max((s + (own[i + 1][0] if i + 1 < len(own) else 0.0)) / 2, min(s, 0.5))
+    return best
+
+
+def overlaps(x: Column, o: Column) -> Column:
+    return (o["start"] < x["end"]) & (x["start"] < o["end"])
+
+
+def apart(spans: Column, others: Column, beats: Callable[[Column, Column], Column]) -> Column:
+    """The spans (sorted by start) that none of ``others`` overlaps and ``beats``. Each run of spans meets only the others in its reach."""
+
+    def of(z: Column) -> Column:
+        s, o = z["s"], z["o"]
+
+        def kept(k: Column) -> Column:
+            run = F.slice(s, k * RUN + 1, F.lit(RUN))
+            return let(run, lambda r: let(F.struct(F.get(r, F.lit(0))["start"].alias("start"), F.array_max(F.transform(r, lambda x: x["end"])).alias("end")), lambda reach: let(F.filter(o, lambda y: overlaps(reach, y)), lambda near: F.filter(r, lambda x: ~F.exists(near, lambda y: overlaps(x, y) & beats(x, y))))))
+
+        return F.when(F.size(s) == 0, s).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / RUN).cast("int")), kept)))
+
+    return let(F.struct(spans.alias("s"), others.alias("o")), of)
 
 
 def train(docs: DataFrame) -> Boosted:
-    """Count (features, kind, confirmed) over every candidate of every text, and boost on those counts."""
+    """Count (features, kind, right) over every candidate of every text; boost on four fifths of the documents, set thresholds on the rest."""
     t = F.col("text")
-    rows = texts(docs).where(t.rlike(r"[0-9@]|[\[( ]dot[\]) ]")).select(F.concat(*base_spans(t).values()).alias("base"), candidates(t).alias("c"))
-    each = rows.select("base", F.explode("c").alias("c")).select("c.*", overlaps(F.col("c"), F.col("base")).cast("int").alias("hit"))
-    counts = each.groupBy("kind", *FEATURES).agg(F.count("*").alias("n"), F.sum("hit").alias("k")).collect()
-    assert len(counts) <= len(KINDS) * math.prod(FEATURES.values())
+    part = (F.pmod(F.xxhash64("doc_id", "text"), F.lit(HELD)) == 0).alias("held")
+    rows = texts(docs).where(t.rlike(r"[0-9@]|[\[( ]dot[\]) ]")).select(part, F.explode(candidates(t)).alias("c")).where("c.right is not null")
+    each = rows.select("held", F.explode(hidden(F.col("c"))).alias("r")).select("held", "r.*")
+    counts = each.groupBy("held", "kind", *FEATURES).agg(F.count("*").alias("count_of"), F.sum("right").alias("right_of")).collect()
+    assert len(counts) <= 2 * len(KINDS) * math.prod(FEATURES.values())
     counts.sort(key=lambda r: tuple(r[:-2]))
-    return boost([({f: r[f] for f in FEATURES}, r.kind, float(r.n), float(r.k)) for r in counts])
+    of = lambda held: [({f: r[f] for f in FEATURES}, r.kind, float(r.count_of), float(r.right_of)) for r in counts if r.held == held]
+    return boost(of(False) or of(True), of(True))
 
 
 def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _tagged(spans: Column, kind: str) -> Column:
-    return F.transform(spans, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-
-
 def _of_kind(spans: Column, kind: str) -> Column:
     return F.filter(spans, lambda x: x["kind"] == kind)
 
 
+PLAIN = "array<struct<kind:string,start:int,end:int>>"
+
+
+def _plain(spans: Column, kind: Column | None = None) -> Column:
+    return F.transform(spans, lambda x: F.struct((x["kind"] if kind is None else kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+
 def find(docs: DataFrame, model: Boosted | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (of the base patterns), base_sha256, spans, n_added.
 
-    Null texts are empty; an empty table gives no rows; repeated rows each give one; other columns are ignored. Base spans always
-    stay; an added span overlaps none of them, and of added ones that overlap each other the first and longest stays.
+    Null texts are empty; an empty table gives no rows; repeated rows each give one; very long texts are searched whole; other columns
+    are ignored. Base spans always stay; an added span overlaps none of them, and of added ones that overlap each other the first and
+    then the longest stays.
     """
     model = model or train(docs)
     t = F.col("text")
     base = base_spans(t)
-    rows = texts(docs).select("doc_id", "text", *[c.alias(f"b_{k}") for k, c in base.items()])
-    tagged = F.concat(*[_tagged(F.col(f"b_{k}"), k) for k in KINDS])
-    rows = rows.select("doc_id", "text", *[F.size(f"b_{k}").cast("long").alias(f"n_{k}") for k in KINDS], tagged.alias("base"))
+    rows = texts(docs).select("doc_id", "text", *[_plain(c, F.lit(k)).alias(f"b_{k}") for k, c in base.items()])
+    rows = rows.select("doc_id", "text", *[F.size(f"b_{k}").cast("long").alias(f"n_{k}") for k in KINDS], F.concat(*[F.col(f"b_{k}") for k in KINDS]).alias("base"))
     limit = lambda x: F.coalesce(*[F.when(x["kind"] == k, F.lit(float(v))) for k, v in model.thresholds.items()])
-    if model.trees:
-        wide = F.filter(F.when(t.rlike(r"[0-9@]|[\[( ]dot[\]) ]"), candidates(t)), lambda x: (model.column(x) >= limit(x)) & ~overlaps(x, F.col("base")))
-        plain = F.transform(wide, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-        apart = F.filter(plain, lambda x: ~F.exists(plain, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"]) & ((o["start"] < x["start"]) | ((o["start"] == x["start"]) & (o["end"] > x["end"])))))
-        added = F.coalesce(F.array_distinct(apart), F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+    none = F.array().cast(PLAIN)
+    if any(v <= 1 for v in model.thresholds.values()):
+        good = F.filter(F.when(t.rlike(r"[0-9@]|[\[( ]dot[\]) ]"), candidates(t)), lambda x: model.column(x) >= limit(x))
+        by_start = lambda a, b: F.coalesce(F.nullif(F.signum(a["start"] - b["start"]), F.lit(0.0)), F.nullif(F.signum(b["end"] - a["end"]), F.lit(0.0)), F.lit(0.0)).cast("int")
+        rows = rows.withColumn("good", F.coalesce(F.array_sort(F.array_distinct(_plain(good)), by_start), none))
+        rows = rows.withColumn("good", apart(F.col("good"), F.col("base"), lambda x, y: F.lit(True)))
+        first = lambda x, y: (y["start"] < x["start"]) | ((y["start"] == x["start"]) & (y["end"] > x["end"])) | ((y["start"] == x["start"]) & (y["end"] == x["end"]) & (y["kind"] < x["kind"]))
+        rows = rows.withColumn("added", F.when(F.size("good") < 2, F.col("good")).otherwise(apart(F.col("good"), F.col("good"), first)))
     else:
-        added = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    rows = rows.withColumn("added", added)
+        rows = rows.withColumn("added", none)
     everything = F.concat(F.col("base"), F.col("added"))
     by_kind = F.concat(*[F.array_sort(_of_kind(everything, k)) for k in KINDS])
     return rows.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(by_kind).alias("spans"), F.size("added").cast("long").alias("n_added"))
-
