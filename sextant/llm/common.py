@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: ASCII white space, which ends words; everything else belongs to a word.
 SPACE = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Of an Arrow batch, and how the session shows that nobody chose its own limit.
+BATCH_BYTES, UNSET = 2 << 20, f"{64 << 20}b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,9 +35,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, so that a batch of long texts stays small in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of few bytes, so that long texts are few in a batch. A limit that the session has set itself stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, UNSET) == UNSET:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

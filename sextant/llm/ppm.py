@@ -29,6 +29,8 @@ END, SYMBOLS = 256, 257
 WORD_BIT = np.uint64(1 << 63)
 #: Texts of one block, in bytes: what a task holds at once. The most parts.
 BLOCK_BYTES, MOST_PARTS = 16 << 20, 8192
+#: Bytes whose grams are sorted at once.
+CHUNK = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOG10 = np.log(10.0)
@@ -68,7 +70,7 @@ def tally(data: list[bytes], learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     found = []
     for counts in (True, False):
         own = [t for t, ok in zip(data, learn, strict=True) if bool(ok) == counts]
-        for i, j in chunks([len(t) for t in own]):
+        for i, j in chunks([len(t) for t in own], CHUNK):
             for make in (grams, words):
                 keys, n = np.unique(make(own[i:j])[0], return_counts=True)
                 found.append((keys, n if counts else np.zeros_like(n)))
@@ -165,7 +167,7 @@ def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, learn = b.column(0).to_pylist(), b.column(1).to_pylist()
         size += sum(map(len, data))
         own = [t for t, ok in zip(data, learn, strict=True) if ok]
-        for i, j in chunks([len(t) for t in own]):
+        for i, j in chunks([len(t) for t in own], CHUNK):
             raw = LOWER[np.frombuffer(b"".join(b"\0" + t for t in own[i:j]) + b"\0", np.uint8)].astype(np.int64)
             symbol = raw[1:].copy()
             symbol[np.cumsum([len(t) + 1 for t in own[i:j]]) - 1] = END
@@ -223,7 +225,7 @@ def _score(parts: int, ends: int) -> object:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         data = left.column("t").to_pylist()
         runs = []
-        for i, j in chunks([len(t) for t in data]):
+        for i, j in chunks([len(t) for t in data], CHUNK):
             for make in (grams, words):
                 own, size = make(data[i:j])
                 distinct, inverse = np.unique(own, return_inverse=True)

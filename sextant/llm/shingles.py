@@ -52,7 +52,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(raw, starts, ends, BYTE), np.diff(np.searchsorted(starts, offsets))
 
 
-def chunks(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def chunks(sizes: list[int], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Begin and end of runs of texts of about ``most`` bytes at most, one text at least."""
     begin = 0
     while begin < len(sizes):
