@@ -169,6 +169,17 @@ def markdown_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[*_`~]+|<[^>]+>", ""))
 
 
+#: What asks and what is asked about it, at the two ends of a question.
+ASKING = r"(?i)^\s*(please\s+)?((can|could) you\s+)?(how (does|do|is|are|did|can)|what (is|are|does)|where (is|are|does|do)|explain|trace|describe|show me|walk me through|find)\s+((the|a)\s+)?"
+ASKED = r"(?i)(\s+(works?|happens?|functions?|done|handled|implemented))?\s*\??\s*$"
+
+
+def topic(question: Column) -> Column:
+    """The subject of a question, without what asks for it; the question itself where nothing else is in it."""
+    bare = F.regexp_replace(F.regexp_replace(question, ASKING, ""), ASKED, "")
+    return F.when(bare == "", question).otherwise(bare)
+
+
 class Duck:
     """The same expressions for DuckDB, which has no lookaround: two replacements with groups in place of one."""
 

@@ -40,3 +40,16 @@ def rank_files(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 def content_hash(*parts: Column) -> Column:
     """SHA-256 of parts with their lengths, so that no two lists of parts run together."""
     return F.sha2(F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]), 256)
+
+
+def unit(vector: Column) -> Column:
+    """A vector at length 1, as encoders give them; one without length stays."""
+    n = norm(vector)
+    return F.when(n > 0, F.transform(vector, lambda x: x / n)).otherwise(vector)
+
+
+def chunk_texts(units: DataFrame, size: int = WINDOW, overlap: int = OVERLAP) -> DataFrame:
+    """(path, chunk, text) for an encoder: every window of a unit's words after its path (L17). A unit without words has its path alone."""
+    windows = token_windows(F.filter(F.split("body", r"\s+"), lambda w: w != ""), size, overlap)
+    texts = F.when(F.size(windows) == 0, F.array(F.lit(""))).otherwise(F.transform(windows, lambda w: F.array_join(w, " ")))
+    return units.select("path", F.posexplode(texts).alias("chunk", "text")).select("path", "chunk", F.rtrim(F.concat_ws(" ", "path", "text")).alias("text"))

@@ -47,6 +47,11 @@ def strategy(question: str, selected: str | None = None) -> str:
     return "explain" if re.search(r"^\s*(how|explain|trace)\b|\bflow\b|walk me through", question, re.I) else "find"
 
 
+def strategy_of(question: Column) -> Column:
+    """The same for a column of questions without a choice (NAV19)."""
+    return F.when(question.rlike(r"(?i)^\s*(how|explain|trace)\b|\bflow\b|walk me through"), "explain").otherwise("find")
+
+
 def walk(children: DataFrame, beam: int = BEAM, depth: int = DEPTH) -> DataFrame:
     """Beam search from the root (NAV8, NAV9): path, kind, score, step of what remains.
 

@@ -26,6 +26,27 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(path.alias("path"), F.col("length").alias("size"), F.when(small & ~F.substring(text, 1, 8192).contains("\0"), text).alias("text")).where(T.safe_path(F.col("path")))
 
 
+#: Endings of texts that are read, and names that are read without one.
+READ = frozenset(".astro .bash .c .cc .cfg .conf .cpp .cs .css .csv .cts .env .go .gql .graphql .h .hpp .htm .html .ini .java .js .json .jsonc .jsx .kt .less .md .mdx .mjs .mts .php .prisma .proto .py .rb .rs .sass .scss .sh .sql .svelte .swift .toml .ts .tsx .txt .vue .xml .yaml .yml .zsh".split())
+READ_NAMES = ("dockerfile", "makefile", "gemfile", "rakefile", "procfile")
+#: Endings of data: their names are indexed and their contents are not.
+DATA = (".json", ".jsonc", ".csv", ".xml")
+MOST_KEYS = 64
+
+
+def readable(path: Column) -> Column:
+    """Whether a file's name is one of a text that is read (S3)."""
+    name = F.lower(T.base_name(path))
+    return T.ext_of(name).isin(*sorted(READ)) | F.regexp_extract(name, r"^([^.]*)", 1).isin(*READ_NAMES)
+
+
+def lexical_fields(units: DataFrame) -> DataFrame:
+    """(path, sig, body, keys) as the index takes it (S9): data has no body, and with over MOST_KEYS keys no signature either."""
+    data = T.ext_of(T.base_name(F.col("path"))).isin(*DATA)
+    many = data & (F.size("keys") > MOST_KEYS)
+    return units.select("path", F.when(many, "").otherwise(F.coalesce("sig", F.lit(""))).alias("sig"), F.when(data, "").otherwise(F.coalesce("body", F.lit(""))).alias("body"))
+
+
 def file_window(files: DataFrame, first: int, last: int) -> DataFrame:
     """Lines first to last of each file, and how many there are."""
     lines = F.split("text", "\n")
