@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sextant.plans import evaluation, lexical, structure
+from sextant.plans import evaluation, lexical, structure, texts
 
-_MODULES = (lexical, structure, evaluation)
+_MODULES = (lexical, structure, evaluation, texts)
 
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
