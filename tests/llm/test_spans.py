@@ -1,9 +1,11 @@
 """Personal data and secrets against plain Python."""
 
 import hashlib
+import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,9 +168,105 @@ def test_unmarked_data_is_added(spark):
     assert sum(got[k].n_added for k in clean) <= 0.01 * len(clean) and sum(got[k].n_card for k in clean) == luck
 
 
-def test_field_finds_unseen_kinds():
-    learn = [x for i in range(200) for x in secrets.tagged(f'run token = "{hashlib.sha1(str(i).encode()).hexdigest()}" at 10.{i}.0.{i} or 20240{100 + i} end')]
-    field = secrets.fit(learn)
-    base, added = secrets.scan('use token: "ghp16C7e42F292c6912E7710c838347Ae178B4a" now 2123465659789240', field)
-    assert [s[0] for s in base] == [0] and not added
-    assert secrets.scan("on 20240131 at 10.20.30.40", field) == ([], [])
+def random_field(seed, calm):
+    """Weights for all features of a few texts; not calm: plain tokens may be secrets."""
+    r = np.random.default_rng(seed)
+    names = {"": 0}
+    for t in TEXTS + CHAINS:
+        for fs in [secrets.PLAIN, *[secrets.features(t or "", a, b, secrets.about(t or "")) for a, b in secrets.chain(t or "", True).spans]]:
+            for f in fs:
+                names.setdefault(f, len(names))
+    model = secrets.Field(names, r.normal(0, 1, (len(names), 3)), secrets._allowed() + r.normal(0, 1, (3, 3)))
+    model.emit[names["plain"]] = [6, 0, 0] if calm else r.normal(0, 1, 3)
+    return model
+
+
+CHAINS = ["user pwd: hunter22x and more words here to go with a1b2c3d4e5 or f6a7b8c9d0 then", "key = one two three four five 0123456789abcdefgh end", "Authorization: Bearer abcdefghijklmnop", "a b c d e f g", "", "x=1234567 y: 'abcd efgh'"]
+
+
+def plain_decode(text, model):
+    """Viterbi over every token, in loops."""
+    whole = secrets.chain(text, True)
+    facts = secrets.about(text)
+    rows = [{OUT: 0.0}]
+    back = []
+    for (a, b), p in zip(whole.spans, whole.plain, strict=True):
+        e = model.emissions([secrets.PLAIN if p else secrets.features(text, a, b, facts)])[0]
+        ways = {y: max((rows[-1][x] + model.step[x, y], -x) for x in rows[-1]) for y in range(3)}
+        back.append({y: -w[1] for y, w in ways.items()})
+        rows.append({y: w[0] + e[y] for y, w in ways.items()})
+    tags, y = [], max(rows[-1], key=lambda k: rows[-1][k])
+    best = rows[-1][y]
+    for b in reversed(back):
+        tags.append(y)
+        y = b[y]
+    tags.reverse()
+    out = []
+    for (a, b), t in zip(whole.spans, tags, strict=True):
+        if t == secrets.BEGIN:
+            out.append((a, b))
+        elif t == secrets.IN:
+            out[-1] = (out[-1][0], b)
+    return out, best
+
+
+OUT = secrets.OUT
+
+
+@pytest.mark.parametrize("calm", [True, False])
+def test_decoding_is_that_of_the_whole_chain(calm):
+    for seed in range(12):
+        model = random_field(seed, calm)
+        for t in TEXTS + CHAINS:
+            assert model.decode(t or "") == plain_decode(t or "", model)[0], (seed, t)
+
+
+def test_best_path_of_all_paths():
+    r = np.random.default_rng(1)
+    for _ in range(40):
+        n = int(r.integers(1, 6))
+        model = secrets.Field({"": 0}, np.zeros((1, 3)), secrets._allowed() + r.normal(0, 1, (3, 3)))
+        e = r.normal(0, 2, (n, 3))
+        score = lambda p: sum(model.step[x, y] + e[i, y] for i, (x, y) in enumerate(zip((0, *p[:-1]), p, strict=True)))
+        assert model.path(e, [0] * n, 0)[0] == list(max(itertools.product(range(3), repeat=n), key=score))
+
+
+def test_gradient_of_the_likelihood():
+    """One small step of training raises the likelihood of the tags, computed over all paths."""
+    learn = [x for t in TEXTS[6:8] + CHAINS for x in secrets.tagged(t or "")]
+
+    def likelihood(model):
+        out = 0.0
+        for tokens, tags in learn:
+            if len(tokens) > 7:
+                continue
+            e = model.emissions(tokens)
+            score = lambda p, e=e: sum(model.step[x, y] + e[i, y] for i, (x, y) in enumerate(zip((0, *p[:-1]), p, strict=True)))
+            out += score(tags) - np.log(sum(np.exp(score(p)) for p in itertools.product(range(3), repeat=len(tokens))))
+        return out
+
+    values = [likelihood(secrets.fit(learn, rounds=k, penalty=0.01)) for k in (0, 1, 5, 40)]
+    assert values == sorted(values) and values[-1] > values[0] / 4
+
+
+def test_hidden_secrets_are_found_and_other_texts_left():
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9)))
+    some = lambda: " ".join(word() for _ in range(14))
+    draw = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    hexes, mixed = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    marked = [lambda: f'token = "{draw(hexes, 40)}"', lambda: f"password: {draw(mixed, 14)}", lambda: "AKIA" + draw("ABCDEFGH234567", 16), lambda: f"api_key={draw(mixed, 30)}"]
+    other = [lambda: f"at 20{r.randrange(10, 30)}-01-1{r.randrange(9)}", lambda: f"10.{r.randrange(256)}.0.{r.randrange(256)}", lambda: draw("0123456789", 16), lambda: f"{word()}.{word()}77@mail.com", lambda: f"key: {word()}", lambda: f"see {word()}/{word()}-{word()}.html", lambda: word() + word() + word()]
+    sample = [f"{some()} {r.choice(marked)() if k % 3 else r.choice(other)()} {some()} {r.choice(other)()} {some()}" for k in range(500)]
+    model = secrets.learn(sample)
+    caught, wanted, wrong = 0, 0, 0
+    for _ in range(200):
+        mark, value = r.choice([("pwd = ", draw(mixed, 16)), ("Authorization: Bearer ", draw(mixed, 32)), ("client_key: '", draw(hexes, 24)), ("credential=", draw(mixed, 20)), ("", "ASIA" + draw("ABCDEFGH234567", 16)), ("passphrase: ", draw("abcdefghijklmnopqrstuvwxyz", 22))])
+        text = f"{some()} {mark}{value} {some()}"
+        at = text.index(value)
+        caught += (3, at, at + len(value)) in secrets.scan(text, model)[1]
+        wanted += 1
+    for _ in range(300):
+        wrong += len(secrets.scan(f"{some()} {r.choice(other)()} {some()} {r.choice(other)()}", model)[1])
+    assert caught >= 0.9 * wanted, caught / wanted
+    assert wrong <= 6, wrong
