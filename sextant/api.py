@@ -98,7 +98,8 @@ class Library:
 
     def _verify(self, paths: DataFrame, by: judge.Judge) -> DataFrame:
         rows = by.score(self.files.join(paths, "path", "left_semi").withColumn("unit", F.col("path")), "verify")
-        return written(rows.select("path", F.col("belief").alias("score"), F.lit(0.0).alias("pick")))
+        rows = written(rows.select("path", "belief"))
+        return written(judge.verified(rows, judge.shares(rows, "belief")))
 
     def _children(self, judged: DataFrame) -> DataFrame:
         """A child's probability is its share of its siblings' heat."""
@@ -138,11 +139,12 @@ class Library:
             front = front.where(F.col("part") >= flow.EXPAND)
             if not front.limit(1).count():
                 break
-        nodes = written(flow.cut_nodes(drawn.withColumn("role", F.lit("service")).withColumn("role_confidence", F.lit(0.0))))
-        edges = written(flow.cut_edges(self.edges.select("from", "to").withColumn("carries", F.lit(1.0)), nodes))
+        nodes = written(flow.cut_nodes(flow.roles(drawn)))
+        among = self.edges.join(nodes.select(F.col("path").alias("from")), "from", "left_semi").join(nodes.select(F.col("path").alias("to")), "to", "left_semi")
+        edges = written(flow.cut_edges(flow.carries(among).select("from", "to", "carries"), nodes))
         pairs = [(r["from"], r["to"]) for r in edges.orderBy("from", "to").collect()]
         order = flow.reading_order([r.asDict() for r in nodes.collect()], pairs)
-        return Result([{"path": p, "place": i + 1} for i, p in enumerate(order)], flow.chart_summary(nodes, edges, 0, 0).first().verdict, {"edges": pairs})
+        return Result([{"path": p, "place": i + 1} for i, p in enumerate(order)], flow.chart_summary(nodes, edges, drawn.count(), among.count()).first().verdict, {"edges": pairs})
 
     def coverage(self, examined: DataFrame) -> DataFrame:
         """Counts of what is and isn't examined, and of what lies next to it."""

@@ -53,3 +53,12 @@ def chunk_texts(units: DataFrame, size: int = WINDOW, overlap: int = OVERLAP) ->
     windows = token_windows(F.filter(F.split("body", r"\s+"), lambda w: w != ""), size, overlap)
     texts = F.when(F.size(windows) == 0, F.array(F.lit(""))).otherwise(F.transform(windows, lambda w: F.array_join(w, " ")))
     return units.select("path", F.posexplode(texts).alias("chunk", "text")).select("path", "chunk", F.rtrim(F.concat_ws(" ", "path", "text")).alias("text"))
+
+
+def input_faults(chunks: DataFrame, queries: DataFrame, size: int) -> DataFrame:
+    """fault and how many rows have it (V3): repeated queries, vectors of another size, without length, or with what isn't a number."""
+    both = chunks.select(F.col("embedding").alias("v")).unionAll(queries.select("embedding"))
+    counts = both.agg(F.count_if(F.coalesce(F.size("v"), F.lit(-1)) != size).alias("another size"), F.count_if(norm(F.col("v")) == 0).alias("no length"), F.count_if(F.exists("v", lambda x: x.isNull() | F.isnan(x))).alias("not a number"))
+    again = queries.groupBy("query").count().where("count > 1").agg(F.count("*").alias("repeated queries"))
+    row = counts.crossJoin(again)
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("fault"), F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias("n")) for c in row.columns])).alias("x")).select("x.fault", "x.n")

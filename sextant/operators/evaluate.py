@@ -74,9 +74,20 @@ def flow_score(flows: DataFrame) -> DataFrame:
 
 
 def digest(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: a digest of the rows as a set, whatever their order."""
-    each = rows.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h")).distinct()
-    return each.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("", F.array_sort(F.collect_list(F.substring("h", 1, 16)))), 256).alias("digest"))
+    """One row: how many distinct rows there are, and a digest of them as a set (E8): sums of two halves of their hashes, so that
+    partial sums meet and no task holds the rows."""
+    text = F.concat(*[F.concat(F.coalesce(F.length(F.col(c).cast("string")).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns])
+    each = rows.select(F.sha2(text, 256).alias("h")).distinct()
+    part = lambda at: F.coalesce(F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return each.agg(F.count("*").alias("rows"), F.sha2(F.concat_ws("/", part(1), part(16)), 256).alias("digest"))
+
+
+def recalls(ranked: DataFrame, relevant: DataFrame, at: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
+    """Means over tasks of hit and recall at each depth (E3). ``ranked``: task, path, rank; ``relevant``: task, path."""
+    size = relevant.groupBy("task").agg(F.count("*").alias("size"))
+    own = ranked.join(relevant, ["task", "path"], "left_semi").groupBy("task").agg(*[F.count_if(F.col("rank") <= k).alias(f"n{k}") for k in at])
+    rows = size.join(own, "task", "left").fillna(0)
+    return rows.agg(F.count("*").alias("tasks"), *[F.round(F.avg((F.col(f"n{k}") > 0).cast("int")), 6).alias(f"hit{k}") for k in at], *[F.round(F.avg(F.col(f"n{k}") / F.col("size")), 6).alias(f"recall{k}") for k in at])
 
 
 def score_rows(results: DataFrame, k: int = 10) -> DataFrame:

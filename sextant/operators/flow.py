@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sextant.functions import text as T
+
 # Fixed values.
 ROLES = ("ui", "client", "entrypoint", "guard", "handler", "service", "config", "persistence", "external", "test")
 SEEDS, SEEDS_EACH, EXPAND, DRAW = 20, 6, 0.7, 0.5
@@ -75,6 +77,124 @@ def cut_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return turned.orderBy(F.desc("carries"), "from", "to").limit(EDGES)
 
 
+#: Words of a path that tell a role offline, first match first.
+ROLE_WORDS = {
+    "test": "test|tests|spec|fixture|mock", "config": "config|settings|env|constants", "guard": "auth|guard|middleware|permission|session|policy", "persistence": "db|database|model|models|store|storage|repository|migration|schema|sql|cache",
+    "handler": "handler|handlers|route|routes|router|controller|endpoint|webhook", "ui": "ui|view|views|page|pages|component|components|screen|widget", "client": "client|sdk|fetch|request|http", "entrypoint": "main|index|cli|app|server|cmd|bin",
+}
+
+
+def roles(paths: DataFrame) -> DataFrame:
+    """``paths`` with role and role_confidence as the stand-in judge gives them: by the words of the path, else a service."""
+    words = T.split_ident(F.regexp_replace("path", r"\.[^./]*$", ""))
+    role = F.coalesce(*[F.when(F.arrays_overlap(words, F.array(*map(F.lit, w.split("|")))), F.lit(r)) for r, w in ROLE_WORDS.items()])
+    return paths.withColumn("role", F.coalesce(role, F.lit("service"))).withColumn("role_confidence", F.when(role.isNull(), 0.3).otherwise(0.6))
+
+
+def carries(edges: DataFrame) -> DataFrame:
+    """``edges`` with what the stand-in says they carry: more names, more weight; uses of types alone carry little."""
+    return edges.withColumn("carries", F.when(F.col("type_only"), 0.2).otherwise(F.least(F.lit(1.0), 0.4 + 0.15 * F.size("names"))))
+
+
+def summary_text(block: Column) -> Column:
+    """First sentence of a comment block without its anchor line (W18). A block is an array of lines, an anchor begins with an arrow."""
+    return T.first_sentence(F.array_join(F.filter(block, lambda x: ~x.startswith("→")), " "))
+
+
+# Endings by the mark of their comments. Fixed values.
+HASHES = ("py", "sh", "bash", "zsh", "rb", "yml", "yaml", "toml", "env")
+DASHES = ("sql", "lua", "hs")
+
+
+def comment_lines(lines: Column, ext: Column) -> Column:
+    """Of each line: what it says as a comment, or null where it isn't one (T20). Block comments run on to their end."""
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, line: Column) -> Column:
+        t = F.trim(line)
+        by_line = F.when(t.startswith("#!"), "").when(ext.isin(*HASHES), F.when(t.startswith("#"), F.regexp_replace(t, r"^#+\s?", ""))).when(ext.isin(*DASHES), F.when(t.startswith("--"), F.regexp_replace(t, r"^-+\s?", "")))
+        slashes = ~ext.isin(*HASHES, *DASHES) & ~t.startswith("#!")
+        opens = slashes & ~a["on"] & t.rlike(r"^\{?/\*")
+        inside = F.trim(F.regexp_replace(F.regexp_replace(t, r"^\{?/?\*+\s?", ""), r"\*/.*$", ""))
+        said = F.when(~slashes, by_line).when(a["on"] | opens, inside).when(t.startswith("//"), F.regexp_replace(t, r"^/+\s?", "")).otherwise(none)
+        on = slashes & (a["on"] | opens) & ~t.contains("*/")
+        return F.struct(on.alias("on"), F.concat(a["out"], F.array(said)).alias("out"))
+
+    return F.aggregate(lines, start, step)["out"]
+
+
+def says_nothing(text: Column) -> Column:
+    """A divider, a reminder, or code that is commented out."""
+    return text.rlike(r"^\s*$|^[-=*#/_~]+$|(?i)^(todo|fixme|hack|xxx)\b") | text.rlike(r"^(import|export|const|let|var|return) |^if \(|^[})({;]")
+
+
+def comment_blocks(units: DataFrame, most_lines: int = 12) -> DataFrame:
+    """(path, line, text): runs of comment lines that say something, each with the first line of code after it as its anchor.
+
+    Runs are islands of neighbouring lines; a run longer than ``most_lines`` keeps its first lines.
+    """
+    ext = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    lines = F.split("body", "\n")
+    rows = units.select("path", F.posexplode(F.arrays_zip(lines.alias("raw"), comment_lines(lines, ext).alias("said"))).alias("at", "x")).select("path", "at", "x.raw", "x.said")
+    order = Window.partitionBy("path").orderBy("at")
+    rows = rows.withColumn("code", F.col("said").isNull() & (F.trim("raw") != "")).withColumn("anchor", F.first(F.when(F.col("code"), F.trim("raw")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("island", F.sum(F.col("said").isNull().cast("int")).over(order)).where(F.col("said").isNotNull() & ~says_nothing(F.col("said")))
+    runs = rows.groupBy("path", "island").agg((F.min("at") + 1).alias("line"), F.array_sort(F.collect_list(F.struct("at", "said"))).alias("said"), F.max_by("anchor", "at").alias("anchor"))
+    said = F.slice(F.transform("said", lambda x: x["said"]), 1, most_lines)
+    return runs.select("path", "line", F.when(F.col("anchor").isNull(), said).otherwise(F.concat(said, F.array(F.concat(F.lit("→ "), "anchor")))).alias("text"))
+
+
+def stages(nodes: list[str], edges: list[tuple[str, str]]) -> dict[str, int]:
+    """Depth of each of at most NODES nodes along edges (U1); an edge that closes a circle, in the order of nodes, doesn't count."""
+    after: dict[str, list[str]] = {n: [] for n in nodes}
+    for a, b in edges:
+        if a in after and b in after and a != b:
+            after[a].append(b)
+    state: dict[str, int] = {}
+    kept: list[tuple[str, str]] = []
+    done: list[str] = []
+
+    def visit(n: str) -> None:
+        state[n] = 1
+        for m in after[n]:
+            if state.get(m) != 1:
+                kept.append((n, m))
+            if m not in state:
+                visit(m)
+        state[n] = 2
+        done.append(n)
+
+    for n in nodes:
+        if n not in state:
+            visit(n)
+    depth = dict.fromkeys(nodes, 0)
+    for n in reversed(done):
+        for a, b in kept:
+            if a == n:
+                depth[b] = max(depth[b], depth[a] + 1)
+    return depth
+
+
+def edge_class(from_depth: Column, to_depth: Column) -> Column:
+    """How an edge is drawn (U2): to the next stage or beyond it, beside its own stage, or back under the chart."""
+    return F.when(to_depth > from_depth, "routed").when(to_depth == from_depth, "side").otherwise("floor")
+
+
+def spine(parts: dict[str, float], edges: list[tuple[str, str, float]]) -> list[str]:
+    """The heaviest chain forward through the stages (U3): each edge gives what it carries times the better part (0.2 at least) of its
+    end, each node half its part; ties by path."""
+    depth = stages(sorted(parts), [(a, b) for a, b, _ in edges])
+    best = {n: (0.5 * p, (n,)) for n, p in parts.items()}
+    for n in sorted(parts, key=lambda n: (depth[n], n)):
+        for a, b, c in sorted(edges):
+            if b == n and a in best and depth[a] < depth[b]:
+                weight = best[a][0] + c * max(0.2, parts[b]) + 0.5 * parts[b]
+                if weight > best[b][0] + 1e-12:
+                    best[b] = (weight, (*best[a][1], b))
+    return list(max(best.values(), key=lambda x: (round(x[0], 9), [-ord(ch) for ch in x[1][-1]]))[1]) if best else []
+
+
 def reading_order(nodes: list[dict], edges: list[tuple[str, str]]) -> list[str]:
     """Order of at most NODES drawn nodes (W13): role, then the longest way down edges that don't lead back in role, then path.
 

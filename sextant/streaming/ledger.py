@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values.
 PER_MINUTE, ALL_PER_MINUTE = 6, 60
 TTL_HOURS, CACHE_ROWS = 24, 100
 TERMINAL = ("done", "error")
+REQUEST_TOKENS, DAY_TOKENS, EACH_DAY_TOKENS = 2_000_000, 200_000_000, 16_000_000
+RUNNING, WAITING, WAIT_SECONDS, RUN_SECONDS, MOST_IDENTITIES = 1, 8, 15, 90, 2_000
 
 
 def admissions(events: DataFrame, each: int = PER_MINUTE, everyone: int = ALL_PER_MINUTE) -> DataFrame:
@@ -25,6 +28,96 @@ def admissions(events: DataFrame, each: int = PER_MINUTE, everyone: int = ALL_PE
     return rows.withColumn("total", total).select("id", "minute", "identity", F.when(F.col("fits") == 0, "identity").when(F.col("total") > everyone, "global").otherwise("admitted").alias("decision"))
 
 
+LADDER = "id long, decision string, retry_after int"
+
+
+def ladder(events: DataFrame, each: int = PER_MINUTE, everyone: int = ALL_PER_MINUTE) -> DataFrame:
+    """Every request with its decision and when to ask again (R3, R4). Columns: id, ts, identity, key, cached, seconds (that it runs).
+
+    Rungs in order: too many identities, the minute of an identity or of all, a cached answer, the same question running, the day's
+    tokens, a full queue, an own question running; else it runs, or waits until a place is free or its wait is over. The state of one
+    service is one sequence, so a day is a task; leases don't pass midnight.
+    """
+
+    def day(pdf):
+        import pandas as pd
+
+        out, names, tokens, all_tokens, minute, counts, total = [], set(), {}, 0, None, {}, 0
+        leases: list[dict] = []  # in order of arrival
+
+        def settle(now: float) -> None:
+            while True:
+                leases[:] = [x for x in leases if x["until"] > now]
+                free = RUNNING - sum(x["runs"] for x in leases)
+                waiting = [x for x in leases if not x["runs"]]
+                if free <= 0 or not waiting:
+                    return
+                waiting[0]["runs"], waiting[0]["until"] = True, now + min(RUN_SECONDS, waiting[0]["seconds"])
+
+        for r in pdf.sort_values(["ts", "id"]).itertuples(index=False):
+            now = r.ts.timestamp()
+            settle(now)
+            if int(now // 60) != minute:
+                minute, counts, total = int(now // 60), {}, 0
+            say = None
+            if r.identity not in names and len(names) >= MOST_IDENTITIES:
+                say = ("busy", 60)
+            else:
+                names.add(r.identity)
+                if counts.get(r.identity, 0) >= each or total >= everyone:
+                    say = ("minute", 60)
+                else:
+                    counts[r.identity], total = counts.get(r.identity, 0) + 1, total + 1
+            if say is None and r.cached:
+                say = ("cached", 0)
+            if say is None and any(x["key"] == r.key for x in leases):
+                say = ("same", 3)
+            if say is None and (all_tokens + REQUEST_TOKENS > DAY_TOKENS or tokens.get(r.identity, 0) + REQUEST_TOKENS > EACH_DAY_TOKENS):
+                say = ("budget", math.ceil(86_400 - now % 86_400))
+            if say is None and len(leases) >= RUNNING + WAITING:
+                say = ("full", 15)
+            if say is None and any(x["identity"] == r.identity for x in leases):
+                say = ("own", 3)
+            if say is None:
+                runs = sum(x["runs"] for x in leases) < RUNNING
+                all_tokens, tokens[r.identity] = all_tokens + REQUEST_TOKENS, tokens.get(r.identity, 0) + REQUEST_TOKENS
+                leases.append({"key": r.key, "identity": r.identity, "runs": runs, "seconds": r.seconds, "until": now + (min(RUN_SECONDS, r.seconds) if runs else WAIT_SECONDS)})
+                say = ("active" if runs else "queued", 0)
+            out.append((r.id, *say))
+        return pd.DataFrame(out, columns=["id", "decision", "retry_after"])
+
+    return events.select("id", "ts", "identity", "key", "cached", "seconds", F.to_date("ts").alias("day")).groupBy("day").applyInPandas(day, LADDER)
+
+
+#: Kinds of events of a run's trace, in the order in which they can first come (R1). Fixed values.
+TRACE = ("start", "terms", "pool", "shortlist", "candidates", "verify", "walk_step", "backtrack", "finish", "escalate", "map", "explain_seed", "explain_hop", "explain_evidence", "explain_edges", "warning", "done", "error")
+
+
+def trace_faults(trace: DataFrame) -> DataFrame:
+    """fault and how many runs have it: an append-only trace begins with a start, numbers its events without a gap, knows their kinds and
+    has nothing after its end. Columns: run, seq, type."""
+    runs = trace.groupBy("run").agg(
+        F.min_by("type", "seq").alias("first"), (F.max("seq") - F.min("seq") + 1 != F.count("*")).alias("gap"), F.bool_or(~F.col("type").isin(*TRACE)).alias("unknown"),
+        F.max(F.when(F.col("type").isin(*TERMINAL), F.col("seq"))).alias("end"), F.min(F.when(F.col("type").isin(*TERMINAL), F.col("seq"))).alias("first_end"), F.max("seq").alias("last"),
+    )
+    counts = runs.agg(F.count_if(F.col("first") != "start").alias("no start"), F.count_if("gap").alias("gap"), F.count_if("unknown").alias("unknown kind"), F.count_if(F.col("first_end") < F.col("last")).alias("after the end"))
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("fault"), F.col(f"`{c}`").alias("n")) for c in counts.columns])).alias("x")).select("x.fault", "x.n")
+
+
+def answer_identity(*parts: Column) -> Column:
+    """Key of a kept answer (V4): a new engine, revision, scope, mode or option is another answer."""
+    return F.sha2(F.to_json(F.struct(F.lit(2).alias("version"), *parts)), 256)
+
+
+def only_params(params: list[tuple[str, str]], allowed: tuple[str, ...]) -> dict[str, str]:
+    """Parameters that are allowed and given once; others are an error (V2)."""
+    names = [k for k, _ in params]
+    for name in names:
+        if name not in allowed or names.count(name) > 1:
+            raise ValueError(f"unknown or repeated parameter: {name}")
+    return dict(params)
+
+
 def minute_counts(events: DataFrame) -> DataFrame:
     return events.groupBy(F.date_trunc("minute", "ts").alias("minute"), "identity").agg(F.count("*").alias("n"))
 
