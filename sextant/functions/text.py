@@ -17,9 +17,24 @@ CHARS_PER_TOKEN, OPTION_TOKENS, LEAST_OPTION, MOST_OPTION = 3.68, 12_000, 45, 16
 _CASE_EDGE = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z](?:[a-rt-z]|s[a-z]))"
 
 
+def spaced(text: Column) -> Column:
+    """Lower-case parts with blanks between. Once only ASCII letters, digits and blanks are left, all is lower-cased at once."""
+    return F.lower(F.regexp_replace(F.regexp_replace(text, _CASE_EDGE, " "), "[^A-Za-z0-9]+", " "))
+
+
 def _parts(text: Column) -> Column:
-    """Lower-case parts, with empty ones. Once only ASCII letters, digits and blanks are left, all is lower-cased at once."""
-    return F.split(F.lower(F.regexp_replace(F.regexp_replace(text, _CASE_EDGE, " "), "[^A-Za-z0-9]+", " ")), " ")
+    """Lower-case parts, with empty ones."""
+    return F.split(spaced(text), " ")
+
+
+def token_count(spaced_text: Column) -> Column:
+    """How many index tokens ``spaced`` text has: the length of ``tokenize`` without an array."""
+    return F.regexp_count(spaced_text, F.lit(r"(?<![a-z0-9])(?=[a-z0-9]{2,32}(?![a-z0-9]))[0-9]*+[a-z][a-z0-9]*+"))
+
+
+def word_count(spaced_text: Column, forms: list[str]) -> Column:
+    """How many parts of ``spaced`` text are one of ``forms``."""
+    return F.regexp_count(spaced_text, F.lit(r"\b(?:" + "|".join(map(re.escape, sorted(forms))) + r")\b")) if forms else F.lit(0)
 
 
 def split_ident(text: Column) -> Column:

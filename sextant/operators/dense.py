@@ -30,11 +30,24 @@ def token_windows(tokens: Column, size: int = WINDOW, overlap: int = OVERLAP) ->
     return F.when(n == 0, F.array().cast("array<array<string>>")).otherwise(F.transform(starts, lambda i: F.slice(tokens, i + 1, size)))
 
 
+#: Queries that are broadcast at once; more go in blocks.
+BLOCK = 4096
+
+
 def rank_files(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query, file, score, rank: a file scores as its best chunk (L18). The queries are a stated, small set."""
-    pairs = chunks.crossJoin(F.broadcast(queries.select("query", F.col("embedding").alias("q"))))
-    best = pairs.groupBy("query", "file").agg(F.round(F.max(cosine(F.col("embedding"), F.col("q"))), 5).alias("score"))
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "file"))).where(F.col("rank") <= k)
+    """query, file, score, rank: a file scores as its best chunk (L18). Queries are a stated set: at most BLOCK meet the chunks at once."""
+    n = max(1, -(-queries.count() // BLOCK))
+    own = queries.select("query", F.col("embedding").alias("q"), norm(F.col("embedding")).alias("nq"))
+    rows = chunks.withColumn("nc", norm(F.col("embedding")))
+    out = None
+    for i in range(n):
+        block = own if n == 1 else own.where(F.pmod(F.xxhash64("query"), F.lit(n)) == i)
+        pairs = rows.crossJoin(F.broadcast(block))
+        length = F.col("nc") * F.col("nq")
+        cos = F.coalesce(F.when(length > 0, dot(F.col("embedding"), F.col("q")) / length), F.lit(0.0))
+        best = pairs.groupBy("query", "file").agg(F.round(F.max(cos), 5).alias("score"))
+        out = best if out is None else out.unionByName(best)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "file"))).where(F.col("rank") <= k)
 
 
 def content_hash(*parts: Column) -> Column:

@@ -1,8 +1,8 @@
 """Fielded lexical retrieval: index tables, BM25F search over them or straight over units, pools, anchors and evidence.
 
 Two ways to search give the same rows. ``search`` reads index tables (many queries, one index). ``search_units`` reads the units
-once for a single query: a unit's counts of the few query words are found in its token arrays, so nothing is exploded and the only
-exchanges are the global counts and the top rows.
+once for a single query: the counts of the few query words are found by patterns in each unit's text and written as a narrow table, so
+nothing is exploded, and the only exchanges are the global counts and the top rows.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
+from sextant.sources.shared import written
 
 # Fixed values.
 K1 = 1.2
@@ -40,6 +41,17 @@ def cap(x: float | None, default: int) -> int:
     return 0 if math.isnan(x) else max(0, int(min(x, 2**31 - 1)))
 
 
+def plain_stem(word: str) -> str:
+    """``T.stem`` of one word."""
+    if len(word) < 4 or not word.endswith("s"):
+        return word
+    if len(word) > 4 and word.endswith("ies") and word[-4] not in "ea":
+        return word[:-3] + "y"
+    if len(word) > 4 and word.endswith(("xes", "zes", "ches", "shes", "sses")):
+        return word[:-2]
+    return word if word[-2] in "sui" else word[:-1]
+
+
 def field_tokens(units: DataFrame) -> DataFrame:
     """path and the tokens of each field; null fields are empty."""
     col = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -114,38 +126,71 @@ def _wtf(view: str) -> Column:
     return reduce(lambda a, b: a + b, parts)
 
 
-def ranked(scored: DataFrame, scope: str, limit: int | None) -> DataFrame:
-    """Scope after scoring, rounding before ranking, ties by path."""
+def best(scored: DataFrame, scope: str, limit: int | None) -> DataFrame:
+    """Scope after scoring, rounding before ranking, ties by path; without a limit all, unranked."""
     rows = scored.where(T.under(F.col("path"), scope)).withColumn("score", F.round("score", 6)).where("score > 0")
-    if limit is not None:
-        rows = rows.orderBy(F.desc("score"), "path").limit(cap(limit, 0))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
+    return rows if limit is None else rows.orderBy(F.desc("score"), "path").limit(cap(limit, 0))
+
 
+def ranked(scored: DataFrame, scope: str, limit: int) -> DataFrame:
+    """The best rows with their ranks; only these, a bounded number, are numbered."""
+    return best(scored, scope, limit).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "path")))
 
-def search(index: Index, terms: list[Term], view: str = "all", scope: str = "", limit: int | None = 20) -> DataFrame:
-    """path, score, matched, rank of the best documents by BM25F (L6, L7, L8). Only the query's few words are broadcast."""
+
+def scores(index: Index, terms: list[Term], view: str = "all") -> DataFrame:
+    """path, score, matched of every document that holds a query word, by BM25F (L6, L7). Only the query's few words are broadcast."""
     spark = index.postings.sparkSession
     hits = index.postings.join(F.broadcast(term_rows(spark, terms)), "term").join(index.doc_stats, "path").crossJoin(F.broadcast(corpus_stats(index.doc_stats)))
     acc = hits.withColumn("wtf", _wtf(view)).where("wtf > 0").groupBy("path", "ti", "label", "weight", "n").agg(F.sum("wtf").alias("acc"))
     df = acc.groupBy("ti").agg(F.count("*").alias("df"))
     part = acc.join(F.broadcast(df), "ti").withColumn("gain", F.col("weight") * idf(F.col("n"), F.col("df")) * F.col("acc") / (K1 + F.col("acc")))
     matched = F.transform(F.array_sort(F.collect_list(F.struct("ti", "label"))), lambda x: x["label"])
-    return ranked(part.groupBy("path").agg(F.sum("gain").alias("score"), F.array_join(matched, ",").alias("matched")), scope, limit)
+    return part.groupBy("path").agg(F.sum("gain").alias("score"), F.array_join(matched, ",").alias("matched"))
+
+
+def search(index: Index, terms: list[Term], view: str = "all", scope: str = "", limit: int = 20) -> DataFrame:
+    """path, score, matched, rank of the best documents."""
+    return ranked(scores(index, terms, view), scope, limit)
+
+
+def unstemmed(variant: str) -> list[str]:
+    """The parts whose stem a variant is: a stem drops s or es, or turns ies into y, so there are few to try."""
+    tried = {variant, variant + "s", variant + "es", variant[:-1] + "ies"}
+    return sorted(w for w in tried if 2 <= len(w) <= 32 and plain_stem(w) == variant)
+
+
+def field_counts(units: DataFrame, live: list[Term], fields: tuple[str, ...]) -> DataFrame:
+    """path, the length of every field, and how often each variant of each term stands in the fields of a view, as v{term}_{variant}.
+
+    Texts are read once, for the table that this writes; counts need no arrays, as the few parts that give a variant are known.
+    """
+    col = lambda c: F.coalesce(F.col(c), F.lit(""))
+    own = units.select("path", T.spaced(col("path")).alias("x_path"), T.spaced(T.base_name(col("path"))).alias("x_name"), T.spaced(col("sig")).alias("x_sig"), T.spaced(T.body_text(col("body"))).alias("x_body"))
+    parts = {"path": ("x_path", "x_name"), "sig": ("x_sig",), "body": ("x_body",)}
+    total = lambda f, of: reduce(lambda a, b: a + b, [of(F.col(x)) for x in parts[f]])
+    count = lambda f, v: F.least(total(f, lambda x: T.word_count(x, unstemmed(v))), F.lit(T.MAX_TF)).cast("int")
+    cols = [F.struct(*[count(f, v).alias(f"tf_{f}") for f in fields]).alias(f"v{i}_{k}") for i, t in enumerate(live) for k, v in enumerate(dict.fromkeys(t.variants))]
+    return written(own.select("path", *[total(f, T.token_count).cast("int").alias(f"len_{f}") for f in FIELDS], *cols))
+
+
+def search_units(units: DataFrame, terms: list[Term], view: str = "all", scope: str = "", limit: int = 20) -> DataFrame:
+    """The same without an index: the units are read once, and a narrow table of counts gives the statistics and then the scores."""
+    return ranked(unit_scores(units, terms, view), scope, limit)
 
 
-def search_units(units: DataFrame, terms: list[Term], view: str = "all", scope: str = "", limit: int | None = 20) -> DataFrame:
-    """The same without an index: one pass over the units, and rows only for those that hold a query word."""
+def unit_scores(units: DataFrame, terms: list[Term], view: str = "all") -> DataFrame:
     live = [t for t in terms if t.weight > 0 and t.variants]
     if not live:
-        return units.sparkSession.createDataFrame([], "path string, score double, matched string, rank int")
-    toks = field_tokens(units)
-    count = lambda f, v: F.least(F.size(F.filter(f"t_{f}", lambda x: x == v)), F.lit(T.MAX_TF))
-    cols = [F.struct(*[count(f, v).alias(f"tf_{f}") for f in VIEWS[view]]).alias(f"v{i}_{k}") for i, t in enumerate(live) for k, v in enumerate(dict.fromkeys(t.variants))]
-    narrow = toks.select("path", *[F.size(f"t_{f}").alias(f"len_{f}") for f in FIELDS], *cols)
+        return units.sparkSession.createDataFrame([], "path string, score double, matched string")
+    return counted_scores(field_counts(units, live, VIEWS[view]), live, view)
+
+
+def counted_scores(narrow: DataFrame, live: list[Term], view: str) -> DataFrame:
+    """Scores from a table of ``field_counts``."""
     means = [F.coalesce(F.nullif(F.avg(f"len_{f}"), F.lit(0.0)), F.lit(1.0)).alias(f"avg_{f}") for f in FIELDS]
     some = [F.greatest(F.lit(0), *[F.col(f"v{i}_{k}.tf_{f}") for k in range(len(dict.fromkeys(t.variants))) for f in VIEWS[view]]) for i, t in enumerate(live)]
     stats = narrow.agg(F.count("*").alias("n"), *means, *[F.coalesce(F.sum((s > 0).cast("int")), F.lit(0)).alias(f"d{i}") for i, s in enumerate(some)])
-    rows = narrow.crossJoin(F.broadcast(stats))  # one row of statistics
+    rows = narrow.where(reduce(lambda a, b: a | b, [s > 0 for s in some])).crossJoin(F.broadcast(stats))  # one row of statistics
     for i, t in enumerate(live):
         parts = []
         for k in range(len(dict.fromkeys(t.variants))):
@@ -154,20 +199,34 @@ def search_units(units: DataFrame, terms: list[Term], view: str = "all", scope:
     rows = rows.select("path", "n", *[f"d{i}" for i in range(len(live))], *[f"a{i}" for i in range(len(live))])
     gains = [float(t.weight) * idf(F.col("n"), F.col(f"d{i}")) * F.col(f"a{i}") / (K1 + F.col(f"a{i}")) for i, t in enumerate(live)]
     labels = F.filter(F.array(*[F.when(F.col(f"a{i}") > 0, F.lit(t.label)) for i, t in enumerate(live)]), lambda x: x.isNotNull())
-    scored = rows.select("path", reduce(lambda a, b: a + b, gains, F.lit(0.0)).alias("score"), F.array_join(labels, ",").alias("matched"))
-    return ranked(scored, scope, limit)
+    return rows.select("path", reduce(lambda a, b: a + b, gains, F.lit(0.0)).alias("score"), F.array_join(labels, ",").alias("matched"))
 
 
 def pool(index: Index, terms: list[Term], scope: str = "", all_: float | None = None, path: float | None = None, sig: float | None = None) -> DataFrame:
     """Top of all fields, then what only the path view and the path+sig view add; scores are of all fields where they exist."""
-    whole = search(index, terms, "all", scope, None)
-    lanes = whole.where(F.col("rank") <= cap(all_, POOL_ALL)).select("path", "rank", F.lit(0).alias("lane"), F.col("score").alias("own"), F.col("matched").alias("own_matched"))
-    for lane, (view, limit) in enumerate((("path", cap(path, POOL_PATH)), ("path+sig", cap(sig, POOL_SIG))), 1):
-        if limit:
-            more = search(index, terms, view, scope, limit)
-            lanes = lanes.unionByName(more.select("path", "rank", F.lit(lane).alias("lane"), F.col("score").alias("own"), F.col("matched").alias("own_matched")))
-    first = lanes.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("lane"))).where("k = 1").drop("k")
-    joined = first.join(whole.select("path", "score", "matched"), "path", "left")
+    return _pool({v: scores(index, terms, v) for v in VIEWS}, scope, all_, path, sig)
+
+
+def pool_units(units: DataFrame, terms: list[Term], scope: str = "", all_: float | None = None, path: float | None = None, sig: float | None = None) -> DataFrame:
+    """The same without an index: one pass over the units."""
+    live = [t for t in terms if t.weight > 0 and t.variants]
+    if not live:
+        return units.sparkSession.createDataFrame([], "path string, score double, matched string, rank int")
+    narrow = field_counts(units, live, FIELDS)
+    return _pool({v: counted_scores(narrow, live, v) for v in VIEWS}, scope, all_, path, sig)
+
+
+def _pool(views: dict[str, DataFrame], scope: str, all_: float | None, path: float | None, sig: float | None) -> DataFrame:
+    """Only the lanes' rows, some dozens, are ranked, and the scores of all fields are looked up for these."""
+    lanes = None
+    for lane, (view, limit) in enumerate((("all", cap(all_, POOL_ALL)), ("path", cap(path, POOL_PATH)), ("path+sig", cap(sig, POOL_SIG)))):
+        if limit or not lane:
+            own = ranked(views[view], scope, limit).select("path", "rank", F.lit(lane).alias("lane"), F.col("score").alias("own"), F.col("matched").alias("own_matched"))
+            lanes = own if lanes is None else lanes.unionByName(own)
+    first = written(lanes.withColumn("k", F.row_number().over(Window.partitionBy("path").orderBy("lane"))).where("k = 1").drop("k"))
+    late = first.where("lane > 0").select("path")
+    whole = best(views["all"].join(F.broadcast(late), "path", "left_semi"), scope, None).select("path", "score", "matched")
+    joined = first.join(F.broadcast(whole), "path", "left")
     place = F.row_number().over(Window.orderBy("lane", joined["rank"]))
     return joined.select("path", F.coalesce("score", "own").alias("score"), F.coalesce("matched", "own_matched").alias("matched"), place.cast("int").alias("rank"))
 

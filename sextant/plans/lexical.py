@@ -9,6 +9,7 @@ from sextant.functions import text as T
 from sextant.functions.text import Duck
 from sextant.operators import lexical as L
 from sextant.operators.lexical import Term
+from sextant.sources.shared import written
 from sextant.sources.tables import table, units
 
 #: The fixed query.
@@ -68,7 +69,12 @@ def field_lengths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pool_union(spark: SparkSession, sf: str) -> DataFrame:
-    return L.pool(L.build(units(spark, sf)), TERMS).select("path", "score", "rank")
+    return L.pool_units(units(spark, sf), TERMS).select("path", "score", "rank")
+
+
+def pool_index(spark: SparkSession, sf: str) -> DataFrame:
+    index = L.build(units(spark, sf))
+    return L.pool(L.Index(written(index.postings), written(index.doc_stats)), TERMS).select("path", "score", "rank")
 
 
 def dir_anchors(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,7 +112,7 @@ QUERIES = {
     "bm25f_path_sig": _search("path+sig"),
     "bm25f_scoped": _search("all", "en/src3"),
     "bm25f_index": lambda spark, sf: L.search(L.build(units(spark, sf)), TERMS),
-    **{f.__name__: f for f in (vocab_df, term_rarity, group_counts, split_ident, stem_tokens, field_lengths, pool_union, dir_anchors, grep_count, bm25_plain, prefix_relatives, line_evidence_scores, evidence_windows)},
+    **{f.__name__: f for f in (vocab_df, term_rarity, group_counts, split_ident, stem_tokens, field_lengths, pool_union, pool_index, dir_anchors, grep_count, bm25_plain, prefix_relatives, line_evidence_scores, evidence_windows)},
 }
 
 _VOCAB = f"{Duck.tokens()}, v AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT path, unnest(list_concat(tp, ts, tb)) AS term FROM toks) GROUP BY term)"
@@ -150,6 +156,6 @@ SQL = {
         SELECT path, line, round({" + ".join(f"(CASE WHEN h{i} THEN {w} / ln(2 + {d}) ELSE 0 END)" for i, (_, w, d) in enumerate(_WORTH))}, 6) AS score,
         ({" + ".join(f"h{i}::INT" for i in range(3))})::INT AS terms FROM s WHERE h0 OR h1 OR h2""",
 }
-SQL["pool_union"] = f"""WITH a AS ({_search_sql("all").replace("QUALIFY rank <= 20", "")}), p AS ({_search_sql("path").replace("QUALIFY rank <= 20", "QUALIFY rank <= 10")}),
+SQL["pool_union"] = SQL["pool_index"] = f"""WITH a AS ({_search_sql("all").replace("QUALIFY rank <= 20", "")}), p AS ({_search_sql("path").replace("QUALIFY rank <= 20", "QUALIFY rank <= 10")}),
         u AS (SELECT path, 0 AS lane, rank FROM a WHERE rank <= 32 UNION ALL SELECT path, 1, rank FROM p WHERE path NOT IN (SELECT path FROM a WHERE rank <= 32))
         SELECT u.path, coalesce(a.score, p.score) AS score, row_number() OVER (ORDER BY lane, u.rank)::INT AS rank FROM u LEFT JOIN a USING (path) LEFT JOIN p USING (path)"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sextant.functions.text import Duck
 from sextant.operators import graph as X
 from sextant.operators import tree as H
+from sextant.sources.shared import written
 from sextant.sources.tables import table, unit_path
 
 GENERIC = ["txt", "doc", "src"]
@@ -62,7 +63,7 @@ def node_degrees(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fan_in_hubs(spark: SparkSession, sf: str) -> DataFrame:
-    edges = X.merge(uses(spark, sf))
+    edges = written(X.merge(uses(spark, sf)).select("from", "to"))
     return X.degrees(edges).crossJoin(F.broadcast(X.hub_threshold(edges))).where("fan_in > threshold").select("node", "fan_in", "threshold")
 
 
@@ -76,7 +77,7 @@ def coverage_frontier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coverage_report(spark: SparkSession, sf: str) -> DataFrame:
-    edges = X.merge(uses(spark, sf))
+    edges = written(X.merge(uses(spark, sf)).select("from", "to"))
     nodes = edges.select(F.col("from").alias("node")).unionAll(edges.select("to"))
     examined = table(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node"))
     unresolved = table(spark, sf, "part").where("p_size > 45")
