@@ -19,12 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_folders: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only where that setting is missing (tests)."""
+    """A new folder under ``spark.checkpoint.dir``. Where that is missing, a temporary one in a local session, as in tests; on a cluster
+    nobody else could read it, so there it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sextant_")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver and the executors share")
+        base = _folders.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="sextant_"))
     return f"{base.rstrip('/')}/sextant/{uuid.uuid4().hex}"
 
 
