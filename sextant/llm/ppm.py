@@ -6,9 +6,10 @@ escape (method C: as likely as that context has different symbols) to the next s
 one has seen are excluded, down to a uniform choice of what is left. With a trained trie the cost of a symbol depends on its ORDER
 bytes of context only, so a cost is computed once for every distinct gram and looked up for the rest.
 
-No model is broadcast but the contexts of one byte, and no dictionary is held by the driver. Texts are dealt into blocks. A block
-tells the parts of the trie and of the word list which grams and words it holds and how often its training texts have them, packed;
-a part adds up what all blocks tell it, works out the costs, and answers each block in the order of its question.
+No model is broadcast but the contexts of two bytes and less, and no dictionary is held by the driver. Texts are dealt into blocks. A
+block tells the parts of the trie and of the word list which grams and words it holds and how often its training texts have them,
+packed, if it holds any; a part adds up what all blocks tell it, works out the costs, and answers each block in the order of its
+question. Blocks and parts are as many as the texts need; a task takes several in turn, in order, and holds one at a time.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import fold, small_batches, texts
+from sextant.llm.common import fold, small_batches, texts, written
 from sextant.llm.shingles import chunks, word_hashes
 
 #: Bytes of context. A gram is a context and the symbol after it, in 8 * ORDER + 9 bits.
 ORDER = 5
 END, SYMBOLS = 256, 257
 WORD_BIT = np.uint64(1 << 63)
-#: Texts of one block, in bytes: what a task holds at once. The most parts.
-BLOCK_BYTES, MOST_PARTS = 16 << 20, 8192
+#: Texts of one block, in bytes: what a task holds at once. The most partitions that blocks or parts are dealt to.
+BLOCK_BYTES, MOST_TASKS = 16 << 20, 20_000
 #: Bytes whose grams are sorted at once.
 CHUNK = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -60,8 +61,8 @@ def words(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Grams whose contexts end alike in two bytes share a part, so all orders from 2 on are there; words are dealt by hash."""
-    tail = ((keys >> np.uint64(9)) & np.uint64(0xFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
+    """Grams whose contexts end alike in three bytes share a part, so all orders from 3 on are there; words are dealt by hash."""
+    tail = ((keys >> np.uint64(9)) & np.uint64(0xFFFFFF)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(20)
     return (np.where(keys >= WORD_BIT, keys, tail) % np.uint64(parts)).astype(np.int32)
 
 
@@ -121,19 +122,28 @@ def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndar
     return np.where(keys[at] == wanted, values[at], 0)
 
 
-def costs(wanted: np.ndarray, keys: np.ndarray, count: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """log10 probability of each wanted gram, from counted grams (those of all their two-byte tails) and ``low``, the counts of
-    (byte before, symbol) as a 256 x 257 table."""
+Low = tuple[np.ndarray, np.ndarray]  # contexts of LOW bytes << 9 | symbol, ascending, and their counts
+#: Bytes of the longest context that every task knows.
+LOW = 2
+
+
+def shorter(low: Low, k: int) -> Low:
+    """Counts for contexts of ``k`` bytes from those of LOW."""
+    mask = np.uint64((1 << 8 * k) - 1)
+    return add_up([(((low[0] >> np.uint64(9)) & mask) << np.uint64(9) | (low[0] & np.uint64(511)), low[1])])
+
+
+def costs(wanted: np.ndarray, keys: np.ndarray, count: np.ndarray, low: Low) -> np.ndarray:
+    """log10 probability of each wanted gram, from counted grams (those of all their three-byte tails) and ``low``."""
     seen = count > 0
     levels: dict[int, Level] = {}
     mask = {k: np.uint64((1 << 8 * k) - 1) for k in range(ORDER + 1)}
-    for k in range(ORDER, 1, -1):
+    for k in range(ORDER, LOW, -1):
         cut = ((keys[seen] >> np.uint64(9)) & mask[k]) << np.uint64(9) | (keys[seen] & np.uint64(511))
         levels[k] = Level(*add_up([(cut, count[seen])]))
-    one = np.flatnonzero(low.ravel())
-    levels[1] = Level((one // SYMBOLS).astype(np.uint64) << np.uint64(9) | (one % SYMBOLS).astype(np.uint64), low.ravel()[one])
-    none = np.flatnonzero(low.sum(0))
-    levels[0] = Level(none.astype(np.uint64), low.sum(0)[none])
+    for k in range(LOW, -1, -1):
+        levels[k] = Level(*shorter(low, k))
+    none = levels[0].keys
     excluded = {k: levels[k].excluded(levels[k - 1], mask[k - 1]) for k in range(ORDER, 0, -1)}
     out = np.zeros(len(wanted))
     left = np.arange(len(wanted))
@@ -161,57 +171,90 @@ def costs(wanted: np.ndarray, keys: np.ndarray, count: np.ndarray, low: np.ndarr
 
 
 def _low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of (byte before, symbol) in training texts; -1: bytes of all texts."""
-    table, size = np.zeros(256 * SYMBOLS, np.int64), 0
+    """Counts of (LOW bytes before, symbol) in training texts; -1: bytes of all texts; -2: words of training texts."""
+    found, size, n_words = [], 0, 0
+
+    def out(keys: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(count.astype(np.int64))], ["k", "n"])
+
     for b in batches:
         data, learn = b.column(0).to_pylist(), b.column(1).to_pylist()
         size += sum(map(len, data))
         own = [t for t, ok in zip(data, learn, strict=True) if ok]
-        for i, j in chunks([len(t) for t in own], CHUNK):
-            raw = LOWER[np.frombuffer(b"".join(b"\0" + t for t in own[i:j]) + b"\0", np.uint8)].astype(np.int64)
-            symbol = raw[1:].copy()
-            symbol[np.cumsum([len(t) + 1 for t in own[i:j]]) - 1] = END
-            table += np.bincount(raw[:-1] * SYMBOLS + symbol, minlength=len(table))
-    at = np.flatnonzero(table)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(table[at], size))], ["k", "n"])
+        for i, j in chunks([len(t) for t in own]):
+            n_words += len(word_hashes(own[i:j])[0])
+            raw = LOWER[np.frombuffer(b"".join(b"\0" * LOW + t for t in own[i:j]) + b"\0" * LOW, np.uint8)].astype(np.int64)
+            keys = (raw[:-2] << 17 | raw[1:-1] << 9 | raw[2:]).astype(np.uint64)
+            ends = np.cumsum([len(t) + LOW for t in own[i:j]])  # place of the first zero after each text
+            symbol_at = ends - LOW
+            keys[symbol_at] = (keys[symbol_at] >> np.uint64(9)) << np.uint64(9) | np.uint64(END)
+            keep = np.ones(len(keys), bool)
+            keep[symbol_at[symbol_at + 1 < len(keys)] + 1] = False  # between two texts
+            values, n = np.unique(keys[keep], return_counts=True)
+            found.append((values, n))
+        if sum(len(k) for k, _ in found) > 400_000:
+            found = [add_up(found)]
+    keys, count = add_up(found)
+    yield out(np.append(keys.astype(np.int64), [-1, -2]), np.append(count, [size, n_words]))
 
 
 def _tell(parts: int) -> object:
-    """Of each block (a partition is one): for every part, its keys there (none, too: the answer has the part's totals) and their training counts."""
+    """Of each block, whose rows come together: for every part of which it has keys, these and their training counts."""
+
+    def rows_of(block: int, rows: list[tuple[bytes, bool]]) -> Iterator[pa.RecordBatch]:
+        keys, count = tally([t for t, _ in rows], np.array([ok for _, ok in rows], float))
+        part = part_of(keys, parts)
+        order = np.argsort(part, kind="stable")
+        part, keys, count = part[order], keys[order], count[order].astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
+        for i in range(0, len(cut), 64):
+            own = cut[i : i + 64]
+            ends = np.append(cut, len(part))[i + 1 : i + 1 + len(own)]
+            spans = list(zip(own.tolist(), ends.tolist(), strict=True))
+            row = [pa.array(part[own], pa.int32()), pa.array([block] * len(own), pa.int32()), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([count[a:b].tobytes() for a, b in spans], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, ["part", "block", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        at, held = None, []
         for b in batches:
             for block, t, learn in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                held.setdefault(block, []).append((t, learn))
-        for block, rows in held.items():
-            keys, count = tally([t for t, _ in rows], np.array([ok for _, ok in rows], float))
-            part = part_of(keys, parts)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            for p in range(parts):
-                own = order[cut[p] : cut[p + 1]]
-                row = [pa.array([p], pa.int32()), pa.array([block], pa.int32()), pa.array([keys[own].tobytes()], pa.binary()), pa.array([count[own].astype(np.int64).tobytes()], pa.binary())]
-                yield pa.RecordBatch.from_arrays(row, ["part", "block", "keys", "counts"])
+                if block != at and held:
+                    yield from rows_of(at, held)
+                    held = []
+                at = block
+                held.append((t, learn))
+        if held:
+            yield from rows_of(at, held)
 
     return run
 
 
 def _answer(low) -> object:
-    """Of each part: to each block, the values of its keys there: log10 cost of a gram, training count of a word."""
+    """Of each part, whose rows come together: to each block, the values of its keys there: log10 cost of a gram, training count of a
+    word. Block -1 gets how many different words the part has in training."""
+
+    def rows_of(part: int, asked: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        own = [(k, np.frombuffer(a, np.uint64), np.frombuffer(c, np.int64)) for k, a, c in asked]
+        keys, count = add_up([(a, c) for _, a, c in own])
+        is_word = keys >= WORD_BIT
+        value = count.astype(np.float64)
+        value[~is_word] = costs(keys[~is_word], keys[~is_word], count[~is_word], low.value)
+        replies = [(block, value[np.searchsorted(keys, a)].tobytes()) for block, a, _ in own] + [(-1, np.float64((count[is_word] > 0).sum()).tobytes())]
+        for i in range(0, len(replies), 64):
+            some = replies[i : i + 64]
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(some), pa.int32()), pa.array([k for k, _ in some], pa.int32()), pa.array([d for _, d in some], pa.binary())], ["part", "block", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = [(p, k, np.frombuffer(a, np.uint64), np.frombuffer(c, np.int64)) for b in batches for p, k, a, c in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True)]
-        for part in sorted({x[0] for x in asked}):
-            own = [x for x in asked if x[0] == part]
-            keys, count = add_up([(a, c) for _, _, a, c in own])
-            is_word = keys >= WORD_BIT
-            value = count.astype(np.float64)
-            value[~is_word] = costs(keys[~is_word], keys[~is_word], count[~is_word], low.value)
-            total, kinds = int(count[is_word].sum()), int((count[is_word] > 0).sum())
-            for _, block, a, _ in own:
-                data = value[np.searchsorted(keys, a)].tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part, pa.int32()), (block, pa.int32()), (data, pa.binary()), (total, pa.int64()), (kinds, pa.int64()))], ["part", "block", "data", "total", "kinds"])
+        at, held = None, []
+        for b in batches:
+            for part, *rest in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                if part != at and held:
+                    yield from rows_of(at, held)
+                    held = []
+                at = part
+                held.append(tuple(rest))
+        if held:
+            yield from rows_of(at, held)
 
     return run
 
@@ -219,8 +262,8 @@ def _answer(low) -> object:
 COLUMNS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(parts: int, ends: int) -> object:
-    """A block's texts with its answers; ``ends`` training texts, whose ends are tokens too."""
+def _score(parts: int, ends: int, total: int, kinds) -> object:
+    """A block's texts with its answers; ``ends`` training texts, whose ends are tokens too, ``total`` training words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         data = left.column("t").to_pylist()
@@ -235,9 +278,8 @@ def _score(parts: int, ends: int) -> object:
         part = part_of(keys, parts)
         for p, d in zip(right.column("part").to_pylist(), right.column("data").to_pylist(), strict=True):
             value[part == p] = np.frombuffer(d)
-        total, kinds = sum(right.column("total").to_pylist()), sum(right.column("kinds").to_pylist())
         n_tokens, known, base, score = (np.zeros(len(data)) for _ in range(4))
-        seen, kind = total + ends, kinds + (ends > 0)
+        seen, kind = total + ends, kinds.value + (ends > 0)
         scale = np.log10(seen + 0.1 * (kind + 1))
         for k, (i, j, size, distinct, inverse) in enumerate(runs):
             own = value[np.searchsorted(keys, distinct)]
@@ -267,16 +309,23 @@ def score(docs: DataFrame, mod: int = 10, held: int = 0) -> DataFrame:
     small_batches(spark)
     source = texts(docs).select("doc_id", F.col("text").cast("binary").alias("t"), (fold("doc_id", mod) == held).alias("held_out"))
     learn = F.coalesce(~F.col("held_out"), F.lit(False))
-    counted = {r.k: r.n for r in source.select("t", learn.alias("learn")).mapInArrow(_low, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    low = np.zeros(256 * SYMBOLS, np.int64)
-    for k, n in counted.items():
-        if k >= 0:
-            low[k] = n
-    low = low.reshape(256, SYMBOLS)
-    blocks = max(1, -(-counted.get(-1, 0) // BLOCK_BYTES))
-    parts = min(MOST_PARTS, max(8, 2 * blocks))
-    dealt = source.select(F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "t", "held_out").repartition(blocks, "block")
-    told = dealt.select("block", "doc_id", "t", learn.alias("learn")).mapInArrow(_tell(parts), "part int, block int, keys binary, counts binary")
-    answers = told.repartitionById(parts, F.col("part")).mapInArrow(_answer(spark.sparkContext.broadcast(low)), "part int, block int, data binary, total long, kinds long")
-    shared = answers.repartition(blocks, "block")
-    return dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_score(parts, int(low[:, END].sum())), COLUMNS)
+    counted = {r.k: r.n for r in source.select("t", learn.alias("learn")).mapInArrow(_low, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}  # at most 65,536 x 257 contexts and symbols
+    size, n_words = counted.pop(-1, 0), counted.pop(-2, 0)
+    keys = np.array(sorted(counted), np.int64)
+    low = (keys.astype(np.uint64), np.array([counted[k] for k in keys.tolist()], np.int64))
+    ends = int(low[1][(low[0] & np.uint64(511)) == END].sum())
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    parts = max(8, 2 * blocks)
+    dealt = source.select(F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "t", "held_out").repartition(min(blocks, MOST_TASKS), "block")
+    told = dealt.sortWithinPartitions("block").select("block", "doc_id", "t", learn.alias("learn")).mapInArrow(_tell(parts), "part int, block int, keys binary, counts binary")
+    n = min(parts, MOST_TASKS)
+    asked = told.repartitionById(n, F.col("part") % n).sortWithinPartitions("part")
+    answers = written(asked.mapInArrow(_answer(spark.sparkContext.broadcast(low)), "part int, block int, data binary"))
+    kinds = answers.where("block = -1").select("data").mapInArrow(_sum, "n double").agg(F.sum("n")).first()[0]
+    shared = answers.where("block >= 0").repartition(min(blocks, MOST_TASKS), "block")
+    return dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_score(parts, ends, n_words, spark.sparkContext.broadcast(int(kinds or 0))), COLUMNS)
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([float(np.frombuffer(b"".join(b.column(0).to_pylist())).sum())])], ["n"])

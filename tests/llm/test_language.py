@@ -70,16 +70,26 @@ def test_against_plain(spark):
 def test_is_a_distribution():
     texts = [b"abracadabra", b"abra cad", b"banana"]
     keys, count = ppm.tally(texts, np.ones(3))
-    low = np.zeros((256, 257), np.int64)
+    low = Counter()
     for t in texts:
-        for a, b in zip([0, *t], [*t, 256], strict=True):
-            low[a, b] += 1
+        for a, b, c in zip([0, 0, *t], [0, *t], [*t, 256], strict=False):
+            low[a << 17 | b << 9 | c] += 1
+    low = (np.array(sorted(low), np.uint64), np.array([low[k] for k in sorted(low)]))
     own = keys < ppm.WORD_BIT
     for context in (b"abrac", b"zzzzz", b"\0\0\0\0b", b"banan"):
         wanted = (np.uint64(int.from_bytes(context, "big")) << np.uint64(9)) | np.arange(257, dtype=np.uint64)
         assert (10 ** ppm.costs(wanted, keys[own], count[own], low)).sum() == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("tasks", [20_000, 2])
+def test_many_blocks_in_few_tasks(spark, monkeypatch, tasks):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
+    one = Counter((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ppm.score(docs).collect())
+    monkeypatch.setattr(ppm, "BLOCK_BYTES", 900)
+    monkeypatch.setattr(ppm, "MOST_TASKS", tasks)
+    assert Counter((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ppm.score(docs).collect()) == one
+
+
 def test_empty_tables(spark):
     assert ppm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     only = ppm.score(spark.createDataFrame([(10, None)], "doc_id long, text string")).collect()
