@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions import facts, query
-from sextant.operators import flow, graph, judge, lexical, navigate, resolve, signature, tree
+from sextant.operators import flow, graph, judge, lexical, navigate, projects, signature, tree
 from sextant.sources.shared import written
 
 # Fixed values.
@@ -54,12 +54,14 @@ class Library:
     @cached_property
     def resolved(self) -> DataFrame:
         uses = self.facts.select(F.col("path").alias("from"), F.explode("imports").alias("i")).select("from", F.col("i.spec").alias("spec"), F.col("i.names").alias("names"), F.col("i.how").alias("how"), F.col("i.type_only").alias("type_only"), F.col("i.line").alias("line"))
-        return written(uses.join(resolve.resolve(self.files, uses), ["from", "spec"]))
+        return written(uses.join(projects.resolve_all(self.files, uses), ["from", "spec"]))
 
     @cached_property
     def edges(self) -> DataFrame:
-        files = self.resolved.where("kind = 'file'").withColumnRenamed("path", "to").withColumn("via", F.lit(None).cast("string"))
-        return written(graph.merge(files.select("from", "to", "names", "type_only", "how", "line", "via")))
+        """References between units, names followed through barrels to where they are declared."""
+        found = self.resolved.where("kind = 'file'").withColumnRenamed("path", "to").select("from", "to", "names", "type_only", "how", "line")
+        declared = self.facts.select("path", F.explode("decls").alias("d")).select("path", F.col("d.name").alias("name"))
+        return written(graph.merge(graph.through_barrels(projects.landed(found, self.files, declared), declared)))
 
     @cached_property
     def signatures(self) -> DataFrame:

@@ -86,6 +86,29 @@ def coverage(nodes: DataFrame, edges: DataFrame, examined: DataFrame, unresolved
     )
 
 
+def through_barrels(uses: DataFrame, declared: DataFrame) -> DataFrame:
+    """Uses (from, to, names, type_only, how, line) with ``via``: each name of a use goes to the file that declares it, through the
+    re-exports of the files on its way (X14). A named re-export comes before a declaration of the file, then stars, then nothing.
+
+    ``declared``: path, name. A use without names, or of names that no re-export passes on, stays as it is.
+    """
+    passes = uses.where("how = 'reexport'").select(F.col("from").alias("file"), F.explode("names").alias("name"), "to").distinct()
+    named = passes.where("name <> '*'").select("file", "name", "to", F.col("name").alias("to_name"), F.lit(0).alias("priority"))
+    each = uses.where(F.size("names") > 0).withColumn("name", F.explode("names"))
+    asked = each.where("how <> 'reexport' and name <> '*'").select(F.col("to").alias("file"), "name").distinct()
+    local = declared.select(F.col("path").alias("file"), "name").distinct()
+    # A star passes on what its target declares itself, and further what named re-exports of the target do.
+    stars = passes.where("name = '*'").select("file", F.col("to").alias("target"))
+    given = local.unionByName(named.select("file", "name")).distinct()
+    star = stars.join(given.withColumnRenamed("file", "target"), "target").select("file", "name", F.col("target").alias("to"), F.col("name").alias("to_name"), F.lit(2).alias("priority"))
+    star = star.join(local, ["file", "name"], "left_anti")
+    ends = chase(asked, named.unionByName(star)).select(F.col("file").alias("to"), "name", "defined_in", "hops")
+    moved = each.join(ends, ["to", "name"], "left").withColumn("goes", F.when((F.col("hops") > 0) & (F.col("how") != "reexport"), F.col("defined_in")).otherwise(F.col("to")))
+    rows = moved.groupBy("from", "to", "type_only", "how", "line", "goes").agg(F.array_sort(F.collect_set("name")).alias("names"))
+    rows = rows.select("from", F.col("goes").alias("to"), "names", "type_only", "how", "line", F.when(F.col("goes") != F.col("to"), F.col("to")).alias("via"))
+    return rows.unionByName(uses.where(F.size("names") == 0).withColumn("via", F.lit(None).cast("string")).select(*rows.columns))
+
+
 def chase(start: DataFrame, reexports: DataFrame, hops: int = MAX_HOPS) -> DataFrame:
     """Where a name is defined (X14): follow (file, name) through re-exports (file, name, to, to_name, priority) to the end.
 

@@ -13,7 +13,7 @@ from sextant.functions import text as T
 
 # Endings in the order in which they are tried.
 EXTENSIONS = (".ts", ".tsx", ".mts", ".cts", ".js", ".jsx", ".mjs", ".cjs", ".json", ".d.ts", ".vue", ".svelte", ".graphql", ".gql")
-SOURCES = {".js": (".ts", ".tsx", "", ".d.ts"), ".jsx": (".tsx",), ".mjs": (".mts", "", ".d.mts"), ".cjs": (".cts", "", ".d.cts")}
+SOURCES = {".js": (".ts", ".tsx", "", ".d.ts"), ".jsx": (".tsx",), ".mjs": (".mts", "", ".d.mts"), ".cjs": (".cts", "", ".d.cts"), ".d.ts": (".ts", ".tsx", ""), ".d.mts": (".mts", ""), ".d.cts": (".cts", "")}
 
 
 def normalised(path: Column) -> Column:
