@@ -274,7 +274,7 @@ def evidence(units: DataFrame, terms: list[Term], df: dict[str, int], head: floa
                 for i, line in enumerate(lines):
                     seen = {worth[t][0]: worth[t][1] for t in reversed(list(toks[i])) if t in worth} if len(line) <= T.MAX_LINE else {}
                     if seen:
-                        found.append((-sum(seen.values()), -len(seen), i))
+                        found.append((-round(sum(seen.values()), 6), -len(seen), i))
                 used = 0
                 for _, _, i in sorted(found) if n_win else []:
                     if used >= n_win:

@@ -93,17 +93,14 @@ def prefix_relatives(spark: SparkSession, sf: str) -> DataFrame:
     return L.relatives(vocab_df(spark, sf), ["thing", "edition", "ention"])
 
 
-#: Document counts that line_evidence_scores and its SQL take for the fixed query's terms; evidence_windows counts its own.
-DF = {"hand": 40, "thing": 300, "ention": 200}
-
-
 def line_evidence_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return L.line_scores(units(spark, sf), TERMS[:3], DF)
+    u = units(spark, sf)
+    return L.line_scores(u, TERMS[:3], L.unit_df(u, TERMS[:3]))
 
 
 def evidence_windows(spark: SparkSession, sf: str) -> DataFrame:
     u = units(spark, sf)
-    return L.evidence(u, TERMS[:3], L.unit_df(u, TERMS[:3]))
+    return L.evidence(u, TERMS[:3], L.unit_df(u, TERMS[:3])).select("path", F.array_join("shown", "\n").alias("shown"))
 
 
 QUERIES = {
@@ -118,7 +115,18 @@ QUERIES = {
 _VOCAB = f"{Duck.tokens()}, v AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT path, unnest(list_concat(tp, ts, tb)) AS term FROM toks) GROUP BY term)"
 _LIKE = " OR ".join(f"contains(lower(x), '{w}')" for w in WORDS)
 _ANCHOR_BASE = _search_sql("all").replace("QUALIFY rank <= 20", "QUALIFY rank <= 10")
-_WORTH = [(t, t.weight, DF[t.label]) for t in TERMS[:3]]
+#: The first three terms: d0 to d2, documents that have each; in lines h0 to h2, whether each is there; and what they are worth together.
+_COUNTED = "d AS (SELECT " + ", ".join(f"count(*) FILTER (list_has_any(list_concat(tp, ts, tb), {list(t.variants)})) AS d{i}" for i, t in enumerate(TERMS[:3])) + " FROM toks)"
+_HITS = ", ".join(f"list_has_any(t, {list(t.variants)}) AND d{i} > 0 AS h{i}" for i, t in enumerate(TERMS[:3]))
+_SCORE = "round(" + " + ".join(f"(CASE WHEN h{i} THEN {t.weight} / ln(2 + d{i}) ELSE 0 END)" for i, t in enumerate(TERMS[:3])) + ", 6)"
+
+
+def _window(k: int) -> str:
+    """The next window of evidence: around the best line that isn't shown yet."""
+    return f"""p{k} AS (SELECT path, i AS c FROM k{k - 1} WHERE hits > 0 AND NOT keep QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, hits DESC, i) = 1),
+        k{k} AS (SELECT path, i, x, is_full, score, hits, keep OR coalesce(i BETWEEN c - 2 AND c + 2, false) AS keep FROM k{k - 1} LEFT JOIN p{k} USING (path))"""
+
+
 
 SQL = {
     "bm25f_all": _search_sql("all"),
@@ -150,11 +158,18 @@ SQL = {
         FROM c JOIN d USING (w) CROSS JOIN s WHERE tf > 0 GROUP BY path ORDER BY score DESC, path LIMIT 20""",
     "prefix_relatives": f"""WITH {_VOCAB} SELECT DISTINCT term, df FROM v JOIN (SELECT unnest(['thing', 'edition', 'ention']) AS w) ON starts_with(term, w) OR starts_with(w, term)
         WHERE length(term) >= 4 AND term NOT IN ('thing', 'edition', 'ention')""",
-    "line_evidence_scores": f"""WITH {Duck.units()}, l AS (SELECT path, string_split(substr(body, 1, {T.MAX_BODY}), chr(10)) AS ls FROM units),
+    "line_evidence_scores": f"""WITH {Duck.tokens()}, {_COUNTED}, l AS (SELECT path, string_split(substr(body, 1, {T.MAX_BODY}), chr(10)) AS ls FROM units),
         e AS (SELECT path, unnest(ls) AS x, unnest(range(1, len(ls) + 1))::INT AS line FROM l), t AS (SELECT path, line, {Duck.tokenize('x')} AS t FROM e WHERE length(x) <= {T.MAX_LINE}),
-        s AS (SELECT path, line, {", ".join(f"list_has_any(t, {list(t.variants)}) AS h{i}" for i, (t, _, _) in enumerate(_WORTH))} FROM t)
-        SELECT path, line, round({" + ".join(f"(CASE WHEN h{i} THEN {w} / ln(2 + {d}) ELSE 0 END)" for i, (_, w, d) in enumerate(_WORTH))}, 6) AS score,
-        ({" + ".join(f"h{i}::INT" for i in range(3))})::INT AS terms FROM s WHERE h0 OR h1 OR h2""",
+        s AS (SELECT path, line, d.*, {_HITS} FROM t CROSS JOIN d)
+        SELECT path, line, {_SCORE} AS score, ({" + ".join(f"h{i}::INT" for i in range(3))})::INT AS terms FROM s WHERE h0 OR h1 OR h2""",
+    "evidence_windows": f"""WITH {Duck.tokens()}, {_COUNTED}, l AS (SELECT path, string_split(substr(body, 1, {T.MAX_BODY}), chr(10)) AS ls FROM units),
+        e AS (SELECT path, unnest(ls) AS x, unnest(range(0, len(ls)))::INT AS i FROM l), t AS (SELECT path, i, x, CASE WHEN length(x) <= {T.MAX_LINE} THEN {Duck.tokenize('x')} ELSE [] END AS t FROM e),
+        h AS (SELECT path, i, x, d.*, {_HITS} FROM t CROSS JOIN d), s AS (SELECT path, i, x, regexp_matches(x, '\\S') AS is_full, {_SCORE} AS score, h0::INT + h1::INT + h2::INT AS hits FROM h),
+        k0 AS (SELECT *, is_full AND count(*) FILTER (is_full) OVER (PARTITION BY path ORDER BY i) <= 8 AS keep FROM s), {", ".join(_window(k) for k in (1, 2, 3))},
+        o AS (SELECT *, count(*) FILTER (NOT keep) OVER (PARTITION BY path ORDER BY i) AS missed, regexp_replace(x, '\\s+$', '') AS y FROM k3 WHERE is_full),
+        g AS (SELECT *, missed > lag(missed) OVER (PARTITION BY path ORDER BY i) AS gap FROM o WHERE keep),
+        r AS (SELECT path, string_agg((CASE WHEN gap THEN '…' || chr(10) ELSE '' END) || (i + 1) || ': ' || (CASE WHEN length(y) <= 140 THEN y ELSE substr(y, 1, 139) || '…' END), chr(10) ORDER BY i) AS shown FROM g GROUP BY path)
+        SELECT path, coalesce(shown, '') AS shown FROM units LEFT JOIN r USING (path)""",
 }
 SQL["pool_union"] = SQL["pool_index"] = f"""WITH a AS ({_search_sql("all").replace("QUALIFY rank <= 20", "")}), p AS ({_search_sql("path").replace("QUALIFY rank <= 20", "QUALIFY rank <= 10")}),
         u AS (SELECT path, 0 AS lane, rank FROM a WHERE rank <= 32 UNION ALL SELECT path, 1, rank FROM p WHERE path NOT IN (SELECT path FROM a WHERE rank <= 32))
