@@ -128,8 +128,11 @@ def mix(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
 
 def keep_mix(docs: DataFrame, plan: Plan) -> DataFrame:
-    """The rows of ``docs`` (its own columns) that the first epochs select. Only each leaf's end is joined, so texts are not shuffled
-    as long as the leaves' table is below the session's broadcast threshold."""
+    """The rows of ``docs`` (its own columns) that the epochs select. Only each leaf's end is joined, so texts are not shuffled as long
+    as the leaves' table is below the session's broadcast threshold.
+
+    Null texts have no tokens and go with their place in the order; null names are empty ones; rows without a doc_id share one place in
+    their leaf, repeated rows go together; an empty table gives no rows."""
     ends, _ = cutoffs(docs, plan)
     ends = written(ends)
     names = [F.col(c).alias(f"own_{i}") for i, c in enumerate(docs.columns)]

@@ -206,7 +206,8 @@ def with_outcome(scored: DataFrame, mod: int, held: int, threshold: float) -> Da
 def keep_good(docs: DataFrame, corpus: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` (its own columns) that score ``threshold`` or more under a model learned from ``corpus`` and ``labels``.
 
-    Scoring is a column, so rows keep their place.
+    Scoring is a column, so rows keep their place. Null texts are scored as empty ones; rows without a doc_id and repeated rows are kept
+    or not by their text; very long texts are scored whole; an empty table gives no rows; other columns stay as they are.
     """
     spark = docs.sparkSession
     small_batches(spark)
