@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from sextant.llm.common import shared_dir, small_batches, texts
 from sextant.llm.shingles import chunks, span_hashes
 
-#: Of one file: about so many documents; each is one task's sorted rows.
-DOCS_PER_FILE = 8192
+#: Of one file: about so many documents. A shard of sorted rows is a task and as a rule one file; beyond SHARDS shards of that size,
+#: shards hold more, sorted and written as a stream, in several files.
+DOCS_PER_FILE, SHARDS = 8192, 100_000
 #: Chunks that a worker remembers before it forgets them all: bounds its memory.
 CACHE = 1_000_000
 OTHER, SPACE, BREAK, LETTER, STOP = range(5)
@@ -219,19 +220,19 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, d
     """Encode every text (null: empty), append ``end_id``, write files of about ``docs_per_file`` documents in doc_id order.
 
     Only ids are read to find the files' bounds (approximate quantiles: any bounds give the same order). Rows of one doc_id stay
-    together, by their ids; null ids come first. Other columns are ignored; an empty table gives a file without rows.
+    together, by their ids; null ids come first; very long texts are one list each. Other columns are ignored; an empty table gives a file without rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
     own = texts(docs)
     n, = own.agg(F.count("doc_id")).first()
-    files = max(1, min(-(-n // docs_per_file), 100_000))
+    files = max(1, min(-(-n // docs_per_file), SHARDS))
     cuts = sorted(set(own.agg(F.percentile_approx("doc_id", [k / files for k in range(1, files)], 20 * files)).first()[0])) if files > 1 else []
     held = spark.sparkContext.broadcast(cuts)  # a number for each file
     packed = "<u2" if vocabulary_size(vocabulary) <= 1 << 16 else "<u4"
     coded = own.select("doc_id", F.col("text").cast("binary")).mapInArrow(_encode(vocabulary, end_id, held, packed), "shard int, doc_id long, ids binary")
     dealt = coded.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "ids")
-    dealt.mapInArrow(_number(packed), SCHEMA).write.options(**WRITER).parquet(path)
+    dealt.mapInArrow(_number(packed), SCHEMA).write.options(**WRITER).option("maxRecordsPerFile", 2 * docs_per_file).parquet(path)
 
 
 def vocabulary_size(path: str) -> int:
@@ -252,6 +253,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return rows.join(F.broadcast(base), "shard").withColumn("start", F.col("base") + F.col("local_start")).drop("base")
 
 
+def metadata(spark: SparkSession, path: str) -> DataFrame:
+    """shard, doc_id, local_start, n_tokens of every document: the pages of ids are not read."""
+    return spark.read.schema(SCHEMA).parquet(path).select("shard", "doc_id", "local_start", "n_tokens")
+
+
+def tokens_between(spark: SparkSession, path: str, low: int, high: int) -> DataFrame:
+    """doc_id and ids of the documents from id ``low`` to ``high``: files, row groups and pages whose ids lie elsewhere are passed over."""
+    return spark.read.schema(SCHEMA).parquet(path).where(F.col("doc_id").between(low, high)).select("doc_id", "tokens")
+
+
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column(3)
