@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions import facts, query
+from sextant.functions import text as T
 from sextant.operators import flow, graph, judge, lexical, navigate, projects, signature, tree
+from sextant.sources import snapshot
 from sextant.sources.shared import written
 
 # Fixed values.
@@ -43,8 +45,8 @@ class Library:
     @cached_property
     def index(self) -> lexical.Index:
         sig = F.concat_ws("\n", "about", F.transform("decls", lambda d: d["name"]), "calls", "strings", "headings", "keys", "tables")
-        units = self.files.join(self.facts.select("path", sig.alias("sig")), "path", "left").select("path", "sig", F.col("text").alias("body"))
-        built = lexical.build(units)
+        units = self.files.join(self.facts.select("path", sig.alias("sig"), "keys"), "path", "left").select("path", "sig", F.col("text").alias("body"), "keys")
+        built = lexical.build(snapshot.lexical_fields(units))
         return lexical.Index(written(built.postings), written(built.doc_stats))
 
     @cached_property
@@ -98,6 +100,28 @@ class Library:
         verdict = "found" if top >= judge.FOUND else "partial" if top >= judge.PARTIAL else "absent"
         return Result(got, verdict, {"ms": round(1000 * (time.perf_counter() - begin)), "terms": [t.label for t in terms]}, warnings)
 
+    def run_find(self, question: str, scope: str = "", by: judge.Judge | None = None, walk_only: bool = False) -> Result:
+        """``find``, or a bare walk from the root whose best finishers are judged by their text alone (NAV18)."""
+        if not walk_only:
+            return self.find(question, scope, by)
+        by = by or judge.Overlap([t.label for t in self.terms(question)])
+        judged = written(by.score(self.files.where(T.under(F.col("path"), scope)).withColumn("unit", F.col("path")), "walk").select("path", "belief"))
+        finished = navigate.walk(self._children(judged), beam=MOST_VERIFIED).where("kind = 'file'").orderBy(F.desc("score"), "path").limit(MOST_VERIFIED)
+        got = [r.asDict() for r in self._verify(finished.select("path"), by).orderBy(F.desc("score"), F.desc("pick"), "path").collect()]
+        top = max((r["score"] for r in got), default=0.0)
+        return Result(got, "found" if top >= judge.FOUND else "partial" if top >= judge.PARTIAL else "absent")
+
+    def save(self, path: str) -> None:
+        """The index and the graph as a snapshot (A1)."""
+        snapshot.save(self.index, self.edges, path)
+
+    @classmethod
+    def load(cls, units: DataFrame, path: str) -> "Library":
+        """A library whose index and graph come from a snapshot that holds together (A1)."""
+        out = cls(units)
+        out.index, out.edges = snapshot.load(units.sparkSession, path)
+        return out
+
     def _verify(self, paths: DataFrame, by: judge.Judge) -> DataFrame:
         rows = by.score(self.files.join(paths, "path", "left_semi").withColumn("unit", F.col("path")), "verify")
         rows = written(rows.select("path", "belief"))

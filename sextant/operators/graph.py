@@ -123,3 +123,14 @@ def chase(start: DataFrame, reexports: DataFrame, hops: int = MAX_HOPS) -> DataF
         go = F.col("to").isNotNull() & ~F.array_contains("seen", here)
         rows = step.select("file", "name", F.when(go, F.col("to")).otherwise(F.col("at")).alias("at"), F.when(go, F.col("to_name")).otherwise(F.col("at_name")).alias("at_name"), (F.col("hops") + go.cast("int")).alias("hops"), F.when(go, F.concat("seen", F.array(here))).otherwise(F.col("seen")).alias("seen"))
     return rows.select("file", "name", F.col("at").alias("defined_in"), F.col("at_name").alias("defined_as"), "hops")
+
+
+def outside(resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What leads out of the files (X16): external (file, spec, pkg, names of all its uses, first line) and unresolved (file, spec), each once."""
+    ext = resolved.where("kind = 'external'").groupBy(F.col("from").alias("file"), "spec", "pkg").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))).alias("names"), F.min("line").alias("line"))
+    return ext, resolved.where("kind = 'unresolved'").select(F.col("from").alias("file"), "spec").distinct()
+
+
+def members(units: DataFrame, edges: DataFrame) -> DataFrame:
+    """Every file of a graph (X17): those with facts and those that are only referred to."""
+    return units.select("path").union(edges.select("to")).distinct()

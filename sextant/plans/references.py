@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import facts
+from sextant.functions.text import Duck
 from sextant.operators import graph as X
 from sextant.operators import projects as P
 from sextant.operators import resolve as R
 from sextant.operators import signature as G
+from sextant.operators import tree as H
+from sextant.plans.structure import files
+from sextant.sources import sinks as K
 from sextant.sources.tables import table
 
 #: Name and text of a file for each kind; {k} is the part's key, {n} its name.
@@ -142,7 +146,42 @@ def barrel_edges(spark: SparkSession, sf: str) -> DataFrame:
     return X.through_barrels(rows, declared).where("how = 'import'").select("from", "to", F.array_join("names", ",").alias("names"), F.coalesce("via", F.lit("")).alias("via"))
 
 
-QUERIES = {f.__name__: f for f in (source_facts, source_signatures, source_hints, descriptor_sizes, resolve_relative, resolve_patterns, resolve_packages, resolve_crates, resolve_python, submodule_uses, barrel_edges)}
+def files_under(spark: SparkSession, sf: str) -> DataFrame:
+    return H.files_under(H.nodes(files(spark, sf)), "en/src3")
+
+
+def tree_json(spark: SparkSession, sf: str) -> DataFrame:
+    tree = H.nodes(files(spark, sf).where("path like '%/src1/%'"))
+    return K.tree_json(tree).where("path not like '%.txt'").select("path", F.get_json_object("node", "$.files").cast("long").alias("files"), F.get_json_object("node", "$.children[0]").alias("first"))
+
+
+def source_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return files(spark, sf).groupBy(K.shard(F.col("path")).alias("shard")).agg(F.count("*").alias("files"), F.min("path").alias("first"))
+
+
+def _resolved(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(_k() % 3 == 0, "external").when(_k() % 3 == 1, "unresolved").otherwise("file")
+    return table(spark, sf, "part").select(F.col("p_brand").alias("from"), F.col("p_type").alias("spec"), F.col("p_type").alias("pkg"), F.array("p_name").alias("names"), _k().alias("line"), kind.alias("kind"))
+
+
+def external_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return X.outside(_resolved(spark, sf))[0].withColumn("names", F.array_join("names", ","))
+
+
+def unresolved_list(spark: SparkSession, sf: str) -> DataFrame:
+    return X.outside(_resolved(spark, sf))[1]
+
+
+def graph_members(spark: SparkSession, sf: str) -> DataFrame:
+    return X.members(table(spark, sf, "part").select(_name("g", _k() % 7).alias("path")), table(spark, sf, "part").select(_name("g", _t() % 19).alias("to")))
+
+
+def event_frames(spark: SparkSession, sf: str) -> DataFrame:
+    own = table(spark, sf, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.col("event_type").alias("type"), F.col("props").alias("payload"))
+    return K.frames(own)
+
+
+QUERIES = {f.__name__: f for f in (files_under, tree_json, source_shards, external_lists, unresolved_list, graph_members, event_frames, source_facts, source_signatures, source_hints, descriptor_sizes, resolve_relative, resolve_patterns, resolve_packages, resolve_crates, resolve_python, submodule_uses, barrel_edges)}
 
 def _cases(values: dict[int, str], other: str = "''") -> str:
     """SQL by kind: {k} and {n} in a value are the part's."""
@@ -153,7 +192,7 @@ def _cases(values: dict[int, str], other: str = "''") -> str:
 _ABOUT = {0: "Makes {n}.", 1: "Makes {n}.", 2: "Makes {n}.", 9: "Makes {n}.", 13: "Page {k}"}
 _DECLS = {0: "f{k}", 1: "C{k}", 2: "S{k}", 3: "F{k}", 4: "K{k}", 5: "run{k}", 6: "x{k}", 7: "T{k}", 8: "v{k}", 14: "st{k}"}
 _IMPORTS = {0: "./m{k}", 1: ".m{k}", 2: "crate::m{k}", 3: "x/m{k}", 4: "a.b.M{k}", 5: "./m{k}.sh", 6: "m{k}.css", 14: "img{k}", 15: "./m{k}"}
-_CALLS, _KEYS = {0: "call{k}", 15: "Card{k}"}, {10: "k{k},k{k}.in", 11: "a{k},a{k}.b", 12: "id,c{k}"}
+_CALLS, _KEYS = {0: "call{k}", 15: "Card{k}"}, {7: "T{k}.a", 10: "k{k},k{k}.in", 11: "a{k},a{k}.b", 12: "id,c{k}"}
 _PATH = "'d/' || " + _cases({i: p for i, p in enumerate(KINDS)}, "NULL")
 _AT = "concat('g', p_partkey % 10, '/src/n', p_partkey, '.ts')"
 _MODULE = "concat('g', t % 10, '/src/m', t, CASE t % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.js' ELSE '/index.tsx' END)"
@@ -165,6 +204,14 @@ def _found(query: str, spec: str, here: str, kind: str = "'unresolved'", more: s
 
 
 SQL = {
+    "files_under": f"WITH {Duck.units()} SELECT path FROM units WHERE starts_with(path, 'en/src3/')",
+    "tree_json": """WITH d AS (SELECT lang, 'doc_' || doc_id || '.txt' AS n FROM documents WHERE source = 'src1')
+        SELECT lang || '/src1' AS path, count(*) AS files, min(n) AS first FROM d GROUP BY lang UNION ALL SELECT lang, count(*), 'src1' FROM d GROUP BY lang UNION ALL SELECT '', count(*), min(lang) FROM d""",
+    "source_shards": f"WITH {Duck.units()} SELECT substr(sha256(path), 1, 2) AS shard, count(*) AS files, min(path) AS first FROM units GROUP BY 1",
+    "external_lists": "SELECT p_brand AS file, p_type AS spec, p_type AS pkg, string_agg(DISTINCT p_name, ',' ORDER BY p_name) AS names, min(p_partkey) AS line FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL",
+    "unresolved_list": "SELECT DISTINCT p_brand AS file, p_type AS spec FROM part WHERE p_partkey % 3 = 1",
+    "graph_members": "SELECT 'g' || (p_partkey % 7) AS path FROM part UNION SELECT 'g' || (p_partkey * 7 % 250 % 19) FROM part",
+    "event_frames": """SELECT user_id AS run, event_id AS seq, 'event: ' || event_type || chr(10) || 'data: {"type":"' || event_type || '","payload":' || props || '}' || chr(10) || chr(10) AS frame FROM events""",
     "source_facts": f"""SELECT {_PATH} AS path, {_cases(_ABOUT)} AS about, {_cases(_DECLS)} AS decls, {_cases(_IMPORTS)} AS imports, {_cases(_CALLS)} AS calls, {_cases({0: "text{k}"})} AS strings,
         {_cases({9: "Head {k}", 13: "H{k}"})} AS headings, {_cases(_KEYS)} AS keys, {_cases({8: "orders{k}"})} AS tables FROM part""",
     "source_signatures": f"""SELECT {_PATH} AS path, {_cases(_ABOUT)} AS about, {_cases(_DECLS)} AS exports, '' AS decls, {_cases(_CALLS)} AS calls, {_cases({0: "m{k}", 1: "m{k}", 5: "m{k}.sh", 15: "m{k}"})} AS "local", {_cases(_KEYS)} AS keys FROM part""",

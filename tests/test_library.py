@@ -164,6 +164,6 @@ def test_evidence_weighs_by_counted_documents(spark, tmp_path):
     body = "\n".join(["head"] * 8 + ["x"] * 5 + ["a hand"] + ["x"] * 9 + ["my hand"] + ["x"] * 9 + ["one hand"] + ["x"] * 9 + ["things"] + ["x"] * 9)
     rows = [(0, body, "en", "s"), (1, "hand", "en", "s"), (2, "a hand", "en", "s"), (3, "nothing", "en", "s"), (4, None, "en", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.path: r.shown for r in plans.evidence_windows(spark, str(tmp_path)).collect()}["en/s/doc_0.txt"]
+    got = {r.path: r.shown.split("\n") for r in plans.evidence_windows(spark, str(tmp_path)).collect()}["en/s/doc_0.txt"]
     assert any(x.endswith(": things") for x in got) and not any(x.endswith(": one hand") for x in got)
     assert L.unit_df(plans.units(spark, str(tmp_path)), plans.TERMS[:3]) == {"hand": 3, "thing": 1, "ention": 0}
