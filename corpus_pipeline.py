@@ -43,7 +43,7 @@ STAGES = [
     ("token files", token_files),
 ]
 
-#: Classifier, near duplicates and tokens are beyond SQL; the stages are tested one by one against plain Python.
+#: Classifier, near duplicates and tokens are beyond SQL; run() and its stages are tested against plain Python.
 ORACLE_SQL = None
 
 
