@@ -14,7 +14,9 @@ question. Blocks and parts are as many as the texts need; a task takes several i
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,31 +34,60 @@ WORD_BIT = np.uint64(1 << 63)
 BLOCK_BYTES, MOST_TASKS = 16 << 20, 20_000
 #: Bytes whose grams are sorted at once.
 CHUNK = 1 << 20
+BLANKS = re.compile(rb"[\x20\x09-\x0D]")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOG10 = np.log(10.0)
 
 
-def grams(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all symbols of all texts in a row (context << 9 | symbol), and how many each text has: its bytes and its end.
+class Piece(NamedTuple):
+    """A text, or a part of a long one: whose, the ORDER bytes before it, its bytes, and whether the text ends with it."""
+
+    owner: int
+    before: bytes
+    text: bytes
+    last: bool
+
+
+def pieces(data: list[bytes]) -> list[Piece]:
+    """Texts; one over CHUNK bytes in parts that end after white space, so that no word is cut (one without any stays whole)."""
+    out = []
+    for i, t in enumerate(data):
+        at = 0
+        while True:
+            end = len(t)
+            if end - at > CHUNK:
+                cut = next((m.start() for m in BLANKS.finditer(t, at + CHUNK - 1)), end)
+                end = min(end, cut + 1)
+            out.append(Piece(i, t[max(0, at - ORDER) : at].rjust(ORDER, b"\0"), t[at:end], end == len(t)))
+            if end == len(t):
+                break
+            at = end
+    return out
+
+
+def grams(own: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all symbols of all pieces in a row (context << 9 | symbol), and how many each has: its bytes and a text's end.
 
     A-Z count as a-z; before a text stand zero bytes.
     """
-    raw = LOWER[np.frombuffer(b"".join(b"\0" * ORDER + t + b"\0" for t in data), np.uint8)].astype(np.uint64)
-    size = np.array([len(t) + 1 for t in data], np.int64)
+    raw = LOWER[np.frombuffer(b"".join(p.before + p.text + b"\0" for p in own), np.uint8)].astype(np.uint64)
+    last = np.array([p.last for p in own])
+    whole = np.array([len(p.text) + 1 for p in own], np.int64)
+    size = whole - ~last
     keys = np.zeros(len(raw) - ORDER, np.uint64)
     for k in range(ORDER):
         keys = (keys << np.uint64(8)) | raw[k : k + len(keys)]
     keys = (keys << np.uint64(9)) | raw[ORDER:]
-    begin = np.cumsum(size + ORDER) - size - ORDER
+    begin = np.cumsum(whole + ORDER) - whole - ORDER
     at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     keys = keys[at]
-    keys[np.cumsum(size) - 1] |= np.uint64(END)  # the symbol of the byte 0 after a text
+    keys[np.cumsum(size)[last] - 1] |= np.uint64(END)  # the symbol of the byte 0 after a text
     return keys, size
 
 
-def words(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    hashed, count = word_hashes(data)
+def words(own: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
+    hashed, count = word_hashes([p.text for p in own])
     return hashed | WORD_BIT, count
 
 
@@ -70,8 +101,8 @@ def tally(data: list[bytes], learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Distinct keys of the texts, ascending, and how often those with ``learn`` have each."""
     found = []
     for counts in (True, False):
-        own = [t for t, ok in zip(data, learn, strict=True) if bool(ok) == counts]
-        for i, j in chunks([len(t) for t in own], CHUNK):
+        own = pieces([t for t, ok in zip(data, learn, strict=True) if bool(ok) == counts])
+        for i, j in chunks([len(p.text) for p in own], CHUNK):
             for make in (grams, words):
                 keys, n = np.unique(make(own[i:j])[0], return_counts=True)
                 found.append((keys, n if counts else np.zeros_like(n)))
@@ -267,10 +298,12 @@ def _score(parts: int, ends: int, total: int, kinds) -> object:
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         data = left.column("t").to_pylist()
+        parts_of = pieces(data)
+        owner = np.array([p.owner for p in parts_of], np.int64)
         runs = []
-        for i, j in chunks([len(t) for t in data], CHUNK):
+        for i, j in chunks([len(p.text) for p in parts_of], CHUNK):
             for make in (grams, words):
-                own, size = make(data[i:j])
+                own, size = make(parts_of[i:j])
                 distinct, inverse = np.unique(own, return_inverse=True)
                 runs.append((i, j, size, distinct, inverse.astype(np.int32)))
         keys = np.unique(np.concatenate([r[3] for r in runs])) if runs else np.zeros(0, np.uint64)
@@ -284,12 +317,13 @@ def _score(parts: int, ends: int, total: int, kinds) -> object:
         for k, (i, j, size, distinct, inverse) in enumerate(runs):
             own = value[np.searchsorted(keys, distinct)]
             if k % 2 == 0:  # grams, then words of the same texts
-                score[i:j] = np.add.reduceat(own[inverse], np.cumsum(size) - size)
+                np.add.at(score, owner[i:j], np.add.reduceat(own[inverse], np.cumsum(size) - size))
                 continue
-            of = np.repeat(np.arange(j - i), size)
-            n_tokens[i:j] = size + 1
-            known[i:j] = np.bincount(of, (own > 0)[inverse], j - i)
-            base[i:j] = np.bincount(of, np.log10(own + 0.1)[inverse], j - i)
+            of = np.repeat(owner[i:j], size)
+            np.add.at(n_tokens, owner[i:j], size)
+            known += np.bincount(of, (own > 0)[inverse], len(data))
+            base += np.bincount(of, np.log10(own + 0.1)[inverse], len(data))
+        n_tokens += 1
         base += np.log10(ends + 0.1) - scale * n_tokens
         known += ends > 0
         n = np.full(len(data), seen, np.int64)
@@ -303,7 +337,7 @@ def score(docs: DataFrame, mod: int = 10, held: int = 0) -> DataFrame:
 
     Learned from the rows outside the fold crc32(doc_id) mod ``mod`` = ``held``. Null texts are empty and have their end as the only
     token; rows without a doc_id are scored, not learned from, and have held_out null; repeated rows each count and each give a row;
-    other columns are ignored; an empty table gives no rows. Without training texts every symbol costs the same.
+    very long texts are worked on in pieces; other columns are ignored; an empty table gives no rows. Without training texts every symbol costs the same.
     """
     spark = docs.sparkSession
     small_batches(spark)

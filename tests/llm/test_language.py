@@ -81,6 +81,34 @@ def test_is_a_distribution():
         assert (10 ** ppm.costs(wanted, keys[own], count[own], low)).sum() == pytest.approx(1.0)
 
 
+@pytest.mark.parametrize("chunk", [1, 7, 64])
+def test_pieces_change_nothing(monkeypatch, chunk):
+    texts = [b"", b"abc", b"one two  three\n" * 9, b"x" * 90, b" y" * 40 + b" "]
+    whole = ppm.tally(texts, np.array([1, 0, 1, 1, 0]))
+    monkeypatch.setattr(ppm, "CHUNK", chunk)
+    assert max(len(p.text) for p in ppm.pieces(texts)) < 95 and len(ppm.pieces(texts)) > 5
+    parts = ppm.tally(texts, np.array([1, 0, 1, 1, 0]))
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
+def test_scores_of_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    whole = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ppm.score(docs).collect())
+    score = ppm._score
+
+    def small(*args):
+        run = score(*args)
+
+        def inner(left, right):
+            ppm.CHUNK = 50  # in the worker
+            return run(left, right)
+
+        return inner
+
+    monkeypatch.setattr(ppm, "_score", small)
+    assert Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in ppm.score(docs).collect()) == whole
+
+
 @pytest.mark.parametrize("tasks", [20_000, 2])
 def test_many_blocks_in_few_tasks(spark, monkeypatch, tasks):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").repartition(3)
