@@ -5,12 +5,14 @@ The default is a closed-form offline scorer; ``Replay`` reads a table of recorde
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
+from sextant.sources.shared import written
 
 # Fixed values.
 BATCH = {"shortlist": 60, "member": 80, "flow": 40, "edges": 100}
@@ -46,6 +48,33 @@ class Replay:
         return rows.join(own, "unit", "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
 
 
+class Calls:
+    """A judge behind a function of one call: the state of a batch as JSON in, a belief for each of its entries, in order, out.
+
+    Answers that no judge may give, or too few of them, are an error.
+    """
+
+    def __init__(self, ask: Callable[[str], list[float]], question: str) -> None:
+        self.ask, self.question = ask, question
+
+    def score(self, rows: DataFrame, stage: str) -> DataFrame:
+        ask = self.ask
+
+        def call(pdfs):
+            import pandas as pd
+
+            for pdf in pdfs:
+                yield pd.DataFrame({"bucket": pdf["bucket"], "batch": pdf["batch"], "beliefs": [ask(s) for s in pdf["state"]]})
+
+        own = batches(rows, stage if stage in BATCH else "shortlist", "unit")
+        own = own.withColumn("place", F.row_number().over(Window.partitionBy("bucket", "batch").orderBy("unit")))
+        answers = states(own, self.question, "unit", ["text"]).mapInPandas(call, "bucket int, batch int, beliefs array<double>")
+        got = own.join(answers, ["bucket", "batch"]).withColumn("belief", F.get("beliefs", F.col("place") - 1))
+        if invalid(got := written(got)).limit(1).count():
+            raise ValueError("a judgment is missing or out of range")
+        return got.drop("bucket", "batch", "place", "beliefs")
+
+
 def batches(rows: DataFrame, stage: str, key: str, buckets: int = 16) -> DataFrame:
     """``bucket`` and ``batch``: the call that a row goes with, of BATCH rows at most.
 

@@ -46,3 +46,20 @@ def test_comment_blocks(spark):
     df = spark.createDataFrame([("a/b.ts", js), ("q.sql", "-- counts\nselect 1"), ("n.txt", "plain"), ("e.py", "")], "path string, body string")
     got = sorted((r.path, r.line, list(r.text)) for r in flow.comment_blocks(df).collect())
     assert got == [("a/b.ts", 2, ["Reads", "things.", "→ function f() {}"]), ("a/b.ts", 7, ["one", "→ let x = 1; // tail"]), ("a/b.ts", 10, ["open"]), ("q.sql", 1, ["counts", "→ select 1"])]
+
+
+def test_judge_of_calls(spark):
+    import json
+
+    rows = spark.createDataFrame([(f"u{k:03}", "good text" if k % 3 else "bad") for k in range(200)], "unit string, text string")
+
+    def ask(state):
+        entries = [json.loads(e) for e in json.loads(state)["entries"]]
+        assert len(entries) <= 60 and json.loads(state)["query"] == "what"
+        return [1.0 if "good" in e["text"] else 0.25 for e in entries]
+
+    got = {r.unit: r.belief for r in judge.Calls(ask, "what").score(rows, "shortlist").collect()}
+    assert got == {f"u{k:03}": 1.0 if k % 3 else 0.25 for k in range(200)}
+    for bad in (lambda s: [2.0] * 60, lambda s: []):
+        with pytest.raises(ValueError):
+            judge.Calls(bad, "what").score(rows, "shortlist")
