@@ -183,7 +183,7 @@ def _encode(path: str, end_id: int, cuts, packed: str) -> object:
             ids, text = b.column(0), b.column(1)
             at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
             raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)
-            for i, j in chunks(np.diff(at).tolist(), 1 << 19):
+            for i, j in chunks(np.diff(at).tolist(), 1 << 20):
                 flat, count = own.encode(raw[at[i] : at[j]], at[i : j + 1] - at[i], end_id)
                 part = ids.slice(i, j - i)
                 shard = np.searchsorted(bounds, part.fill_null(-(1 << 62)).to_numpy(zero_copy_only=False), side="right").astype(np.int32)
