@@ -201,9 +201,12 @@ def _number(packed: str) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, before = None, 0
         for b in batches:
-            data = b.column(2).to_pylist()
-            flat = np.frombuffer(b"".join(data), packed)
-            counts = np.array([len(x) for x in data], np.int64) // flat.itemsize
+            if not b.num_rows:
+                continue
+            data = b.column(2)
+            at = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+            flat = np.frombuffer((data.buffers()[2] or b"")[at[0] : at[-1]], packed)
+            counts = np.diff(at).astype(np.int64) // flat.itemsize
             start = np.empty(len(counts), np.int64)
             for i, (s, n) in enumerate(zip(b.column(0).to_pylist(), counts.tolist(), strict=True)):
                 before = before if s == shard else 0
