@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.llm.common import fold, small_batches, texts, written
@@ -332,6 +332,14 @@ def _score(parts: int, ends: int, total: int, kinds) -> object:
     return run
 
 
+def apart(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n partitions that Spark's hash deals to it; one of its own where none is found."""
+    tried = spark.range(24 * n + 64).select(F.col("id").cast("int").alias("k"))
+    rows = tried.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()  # at most MOST_TASKS
+    found = {r.p: r.k for r in rows}
+    return [found.get(p, 24 * n + 64 + p) for p in range(n)]
+
+
 def score(docs: DataFrame, mod: int = 10, held: int = 0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
@@ -350,7 +358,10 @@ def score(docs: DataFrame, mod: int = 10, held: int = 0) -> DataFrame:
     ends = int(low[1][(low[0] & np.uint64(511)) == END].sum())
     blocks = max(1, -(-size // BLOCK_BYTES))
     parts = max(8, 2 * blocks)
-    dealt = source.select(F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "t", "held_out").repartition(min(blocks, MOST_TASKS), "block")
+    block = F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)).cast("int")
+    if blocks <= MOST_TASKS:  # a task for each
+        block = F.get(F.from_json(F.lit(str(apart(spark, blocks))), "array<int>"), block)
+    dealt = source.select(block.alias("block"), "doc_id", "t", "held_out").repartition(min(blocks, MOST_TASKS), "block")
     told = dealt.sortWithinPartitions("block").select("block", "doc_id", "t", learn.alias("learn")).mapInArrow(_tell(parts), "part int, block int, keys binary, counts binary")
     n = min(parts, MOST_TASKS)
     asked = told.repartitionById(n, F.col("part") % n).sortWithinPartitions("part")

@@ -81,6 +81,13 @@ def test_is_a_distribution():
         assert (10 ** ppm.costs(wanted, keys[own], count[own], low)).sum() == pytest.approx(1.0)
 
 
+def test_a_block_for_each_partition(spark):
+    for n in (1, 2, 7, 211):
+        labels = ppm.apart(spark, n)
+        got = spark.createDataFrame([(k,) for k in labels], "block int").repartition(n, "block").rdd.glom().map(len).collect()
+        assert len(set(labels)) == n and got == [1] * n
+
+
 @pytest.mark.parametrize("chunk", [1, 7, 64])
 def test_pieces_change_nothing(monkeypatch, chunk):
     texts = [b"", b"abc", b"one two  three\n" * 9, b"x" * 90, b" y" * 40 + b" "]
