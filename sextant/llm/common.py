@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +50,21 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object] = object) -> object:
+    """What a Python worker keeps from task to task for the operator ``name``. Workers serve one operator after the other: what this one
+    kept for others goes, and its memory back to the system."""
+    if name not in _kept:
+        _kept.clear()
+        gc.collect()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+        _kept[name] = make()
+    return _kept[name]
+
+
 def texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only (doc_id, text): no other column can clash; a null text counts as empty."""
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))

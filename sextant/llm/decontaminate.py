@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import small_batches, texts
+from sextant.llm.common import kept, small_batches, texts
 from sextant.llm.shingles import chunks, mix, word_hashes
 
 K1, B = 1.2, 0.75
@@ -244,6 +244,7 @@ COLUMNS = "doc_id long, item_id long, score double, question_overlap double, ans
 
 def _searcher(index) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("decontaminate")
         for b in batches:
             data = b.column(1).to_pylist()
             rows = [(b.column(0)[i + t].as_py(), *rest) for i, j in chunks([len(t) for t in data]) for t, *rest in matches(index.value, data[i:j])]
@@ -303,6 +304,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def clean(t, held=held):
             import pandas as pd
 
+            kept("decontaminate")
             data = [x or b"" for x in t]
             bad = {i + m[0] for i, j in chunks([len(t) for t in data]) for m in matches(held.value, data[i:j])}
             return pd.Series([k not in bad for k in range(len(data))], dtype="bool")

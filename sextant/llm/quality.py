@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import fold, small_batches, texts
+from sextant.llm.common import fold, kept, small_batches, texts
 from sextant.llm.labelled import labelled_sample
 
 BITS = 20
@@ -161,16 +161,11 @@ def fit(sample: list[tuple[bytes, int]], cost: float = 1.0, blend: float = 0.5,
     return model
 
 
-_grams: list[Ngrams] = []
-
-
 def _scorer(model) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        if not _grams:
-            _grams.append(Ngrams())
+        own, grams = model.value, kept("quality", Ngrams)
         for b in batches:
-            got = [own.score(_grams[0].of(t)) for t in b.column(1).to_pylist()]
+            got = [own.score(grams.of(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], ["doc_id", "score"])
 
     return run
@@ -217,8 +212,7 @@ def keep_good(docs: DataFrame, corpus: DataFrame, labels: DataFrame, threshold:
     def judged(t):
         import pandas as pd
 
-        if not _grams:
-            _grams.append(Ngrams())
-        return pd.Series([held.value.score(_grams[0].of(x or b"")) for x in t], dtype="float64")
+        grams = kept("quality", Ngrams)
+        return pd.Series([held.value.score(grams.of(x or b"")) for x in t], dtype="float64")
 
     return docs.where(judged(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")) >= threshold)

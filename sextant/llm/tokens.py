@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import shared_dir, small_batches, texts
+from sextant.llm.common import kept, shared_dir, small_batches, texts
 from sextant.llm.shingles import chunks, span_hashes
 
 #: Of one file: about so many documents. A shard of sorted rows is a task and as a rule one file; beyond SHARDS shards of that size,
@@ -170,14 +170,9 @@ class Encoder:
         return self.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), end_id)
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encode(path: str, end_id: int, cuts, packed: str) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        own = _encoders[path]
+        own = kept(f"tokens {path}", lambda: Encoder(path))
         bounds = np.array(cuts.value, np.int64)
         for b in batches:
             ids, text = b.column(0), b.column(1)
