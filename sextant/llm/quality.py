@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.llm.common import fold, kept, small_batches, texts
+from sextant.llm.common import fold, kept, small_batches, texts, trim
 from sextant.llm.labelled import labelled_sample
 
 BITS = 20
@@ -180,8 +180,10 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, mod: int = 4, held: int = 2, bound: int = 6000) -> QualityModel:
-    """Learn from at most ``bound`` labelled rows outside the fold crc32(doc_id) mod ``mod`` = ``held``."""
-    return fit(labelled_sample(docs, labels, "quality", mod, held, bound))
+    """Learn from at most ``bound`` labelled rows outside the fold crc32(doc_id) mod ``mod`` = ``held``. The driver keeps only the model."""
+    model = fit(labelled_sample(docs, labels, "quality", mod, held, bound))
+    trim()
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

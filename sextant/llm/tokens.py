@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import kept, shared_dir, small_batches, texts
+from sextant.llm.common import kept, shared_dir, small_batches, texts, trim
 from sextant.llm.shingles import chunks, span_hashes
 
 #: Of one file: about so many documents. A shard of sorted rows is a task and as a rule one file; beyond SHARDS shards of that size,
@@ -236,7 +236,9 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, d
 def vocabulary_size(path: str) -> int:
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path).get_vocab_size()
+    size = Tokenizer.from_file(path).get_vocab_size()
+    trim()  # the driver has no more use for the tokenizer
+    return size
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,8 @@
 import glob
 import os
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -134,3 +136,33 @@ def test_selective_reads(spark, tmp_path):
     spans = sorted((f.metadata.row_group(0).column(1).statistics.min, f.metadata.row_group(f.num_row_groups - 1).column(1).statistics.max) for f in files if f.metadata.num_rows)
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)) and len(spans) >= 5
     assert all(f.metadata.row_group(0).column(1).has_column_index for f in files if f.metadata.num_rows)
+
+
+MEMORY = """
+import random, re
+from sextant.llm import quality, tokens
+from sextant.llm.queries import vocabulary
+
+def used():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+def sample(*_):
+    r = random.Random(0)
+    return [(" ".join("w%d" % r.randrange(3000) for _ in range(300)).encode(), k % 2) for k in range(800)]
+
+quality.labelled_sample, path = sample, vocabulary()
+a = used()
+model = quality.train(None, None)
+b = used()
+tokens.vocabulary_size(path)
+print(b - a, used() - b)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory is read from /proc")
+def test_the_driver_keeps_little_memory():
+    """A trained model is 8 MB; what training and the vocabulary needed besides goes back to the system."""
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    out = subprocess.run([sys.executable, "-c", MEMORY], env=env, check=True, capture_output=True, text=True).stdout.split()
+    training, size = map(float, out[-2:])
+    assert training < 20 and size < 10
