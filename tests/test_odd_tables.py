@@ -19,7 +19,7 @@ def odd(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["head_lines"])
+@pytest.mark.parametrize("name", ["head_lines", "judge_states", "sentences", "term_rarity"])
 def test_odd(spark, odd, name):
     con = duckdb.connect()
     for t in ("documents", "part"):
