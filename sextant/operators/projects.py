@@ -204,12 +204,15 @@ def package_of(spec: Column) -> Column:
 def resolve_bare(files: DataFrame, uses: DataFrame, rules: DataFrame) -> DataFrame:
     """(from, spec, kind, path, pkg) of references by name: path patterns, then the base folder, then a package's own # names or a
     package that is here; what no rule knows is external. ``files``: path."""
-    rows = _scoped(uses.select("from", "spec").distinct().withColumn("dir", T.dir_of(F.col("from"))).withColumn("id", F.xxhash64("from", "spec")), rules)
+    rows = _scoped(uses.select("from", "spec").distinct().withColumn("dir", T.dir_of(F.col("from"))), rules)
+    rows = rows.withColumn("id", F.xxhash64(*[F.coalesce(c, F.lit("")) for c in ("config", "manifest", "spec")]))
+    # Rules see the scopes and the spec alone: these are matched and probed once, however many files ask.
+    asks = rows.select("id", "spec", "config", "manifest").distinct()
     hashed = F.col("spec").startswith("#")
-    by_config = _matched(rows, rules, (0, 1), F.col("config"))
-    by_name = _matched(rows.where(hashed), rules, (2,), F.col("manifest"))
+    by_config = _matched(asks, rules, (0, 1), F.col("config"))
+    by_name = _matched(asks.where(hashed), rules, (2,), F.col("manifest"))
     outward = by_name.where(F.col("target").startswith("package:")).select("id", F.substring("target", 9, 10_000).alias("spec"))
-    packages = rows.where(~hashed).select("id", "spec").unionByName(outward)
+    packages = asks.where(~hashed).select("id", "spec").unionByName(outward)
     by_package = _matched(packages, rules, (3, 4), package_of(F.col("spec")))
     found = by_config.unionByName(by_name.where(~F.col("target").startswith("package:"))).unionByName(by_package)
     probed = found.select("id", "lane", "place", F.posexplode(R.probes(F.col("target"), F.lit(False))).alias("try", "path")).where("path is not null")
@@ -217,12 +220,13 @@ def resolve_bare(files: DataFrame, uses: DataFrame, rules: DataFrame) -> DataFra
     ruled = by_config.where("lane = 0 and not catch_all").select("id").distinct().withColumn("ruled", F.lit(True))
     named = rules.where("lane = 3").select(F.col("scope").alias("pkg")).distinct().withColumn("here", F.lit(True))
     away = outward.groupBy("id").agg(F.first("spec").alias("away"))
-    out = rows.join(hit, "id", "left").join(ruled, "id", "left").join(away, "id", "left").withColumn("asked", F.coalesce("away", "spec")).withColumn("pkg", package_of(F.col("asked"))).join(F.broadcast(named), "pkg", "left")
+    out = asks.join(hit, "id", "left").join(ruled, "id", "left").join(away, "id", "left").withColumn("asked", F.coalesce("away", "spec")).withColumn("pkg", package_of(F.col("asked"))).join(F.broadcast(named), "pkg", "left")
     scheme = F.col("asked").rlike("(?i)^[a-z][a-z0-9+.-]*:")
     known = F.coalesce("ruled", F.lit(False)) | F.coalesce("here", F.lit(False)) | (hashed & F.col("away").isNull())
     kind = F.when(F.col("path").isNotNull(), "file").when(known, "unresolved").when(scheme | (F.col("pkg") != ""), "external").otherwise("unresolved")
     name = F.when(scheme, F.when(F.col("asked").startswith("node:"), F.regexp_extract("asked", "^([^/]*)", 1)).otherwise(F.col("asked"))).when(F.col("pkg").isin(*sorted(BUILTIN)), F.concat(F.lit("node:"), "pkg")).otherwise(F.col("pkg"))
-    return out.select("from", "spec", kind.alias("kind"), "path", F.when(kind == "external", name).alias("pkg"))
+    answers = out.select("id", kind.alias("kind"), "path", F.when(kind == "external", name).alias("pkg"))
+    return rows.select("from", "spec", "id").join(answers, "id", "left").select("from", "spec", "kind", "path", "pkg")
 
 
 def resolve_rust(files: DataFrame, uses: DataFrame) -> DataFrame:

@@ -50,3 +50,14 @@ def test_barrels_and_submodules(spark):
     assert edges["main.ts", "a/one.ts"] == (["one"], "a/index.ts") and edges["main.ts", "a/two.ts"] == (["two"], "a/index.ts") and edges["main.ts", "three.ts"] == (["three"], "a/index.ts")
     assert edges["main.ts", "a/index.ts"] == (["other"], None) and ("a/index.ts", "a/one.ts") in edges
     assert edges["use.py", "p/sub.py"] == (["sub"], None) and edges["use.py", "p/__init__.py"] == (["shown"], None) and edges["use.py", "p/deep/__init__.py"] == (["deep"], None)
+
+
+def test_equal_references_are_matched_once(spark, monkeypatch):
+    seen, matched = [], projects._matched
+    monkeypatch.setattr(projects, "_matched", lambda uses, *rest: seen.append(uses) or matched(uses, *rest))
+    texts = {"a/tsconfig.json": '{"compilerOptions": {"paths": {"@m/*": ["src/*"]}}}', "p/package.json": '{"name": "p", "exports": {"./*": "./dist/*.js"}}', "a/src/x.ts": "", "p/src/y.ts": ""}
+    files = spark.createDataFrame(list(texts.items()), "path string, text string")
+    uses = spark.createDataFrame([(f"a/n{i}.ts", s) for i in range(40) for s in ("@m/x", "p/y", "q/z")], "from string, spec string")
+    got = projects.resolve_all(files, uses).collect()
+    assert {(r.spec, r.kind, r.path, r.pkg) for r in got} == {("@m/x", "file", "a/src/x.ts", None), ("p/y", "file", "p/src/y.ts", None), ("q/z", "external", None, "q")}
+    assert len(got) == 120 and max(u.count() for u in seen) == 3
