@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.functions import text as T
-from sextant.operators.lexical import Index
+from sextant.operators.lexical import FIELDS, Index
 
 # Fixed values.
 VERSION, MOST_BYTES = 1, 2 << 20
@@ -75,16 +75,23 @@ def load(spark: SparkSession, path: str) -> tuple[Index, DataFrame]:
 def integrity(index: Index, edges: DataFrame) -> DataFrame:
     """check and how many rows break it: all must be 0 (V1)."""
     docs = index.doc_stats.select("path")
+    # Dealt out before they are grouped, so that a task never groups all postings that it reads; a number keeps the parts from being put together.
+    parts = int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = index.postings.select("path", "term").repartition(parts, "path", "term")
+    # One pass over the postings: per path they are few enough to meet the documents.
+    held = index.postings.groupBy("path").agg(F.count("*").alias("n"), *[F.sum(f"tf_{f}").alias(f"s_{f}") for f in FIELDS])
+    met = held.join(index.doc_stats.withColumn("known", F.lit(True)), "path", "left")
+    above = F.expr(" OR ".join(f"s_{f} > len_{f}" for f in FIELDS))
+    both = met.agg(F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("postings without a document"), F.count_if(above).alias("counts above lengths"))
     checks = {
         "repeated paths": docs.groupBy("path").count().where("count > 1"),
         "unsafe paths": docs.where(~T.safe_path(F.col("path"))),
-        "postings without a document": index.postings.join(docs, "path", "left_anti"),
-        "repeated postings": index.postings.groupBy("path", "term").count().where("count > 1"),
-        "counts above lengths": index.postings.groupBy("path").agg(*[F.sum(f"tf_{f}").alias(f"s_{f}") for f in ("path", "sig", "body")]).join(index.doc_stats, "path").where("s_path > len_path or s_sig > len_sig or s_body > len_body"),
+        "repeated postings": dealt.groupBy("path", "term").count().where("count > 1"),
         "edges without an end": edges.select(F.explode(F.array("from", "to")).alias("path")).distinct().join(docs, "path", "left_anti"),
         "loops": edges.where(F.col("from") == F.col("to")),
     }
-    return reduce(lambda a, b: a.unionByName(b), [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n") for name, df in checks.items()])
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n") for name, df in checks.items()]
+    return reduce(lambda a, b: a.unionByName(b), [*counts, both.unpivot([], both.columns, "check", "n")])
 
 
 def patch_paths(patch: str) -> list[str]:

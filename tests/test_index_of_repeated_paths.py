@@ -6,6 +6,7 @@ from test_oracles import rows
 
 from sextant import catalogue
 from sextant.operators import lexical as L
+from sextant.sources import snapshot
 
 DOCS = [(1, "hand things\nthe hand edition", "en", "src3"), (1, "things ertion of others", "en", "src3"), (1, "hand", "de", "src3"), (2, "", "en", "src1"), (2, "others edition " * 9, "en", "src1"), (3, "thing " * 3 + "\n" + "x " * 300, "de", "src3")]
 
@@ -38,3 +39,13 @@ def test_no_shuffle_of_terms(spark):
     df.collect()
     final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "hashpartitioning(term" in final and "hashpartitioning(path" not in final
+
+
+def test_integrity_of_faulty_postings(spark):
+    postings = spark.createDataFrame([("a", "t", 1, 0, 0), ("a", "t", 1, 0, 0), ("b", "t", 1, 0, 0), ("b", "u", 0, 0, 1)], "path string, term string, tf_path long, tf_sig long, tf_body long")
+    stats = spark.createDataFrame([("a", 1, 0, 0)], "path string, len_path int, len_sig int, len_body int")
+    edges = spark.createDataFrame([("a", "a")], "from string, to string")
+    df = snapshot.integrity(L.Index(postings, stats), edges)
+    got = {r.check: r.n for r in df.collect()}
+    assert (got["postings without a document"], got["repeated postings"], got["counts above lengths"], got["loops"]) == (2, 1, 1, 1)
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
